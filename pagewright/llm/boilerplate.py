@@ -362,9 +362,18 @@ def boilerplate_lines(batch: list[tuple], model: Model, known: dict) -> list[lis
 
 
 def train(extractions: DataFrame, pages: DataFrame, limit: int = TRAINING_PAGES) -> Model:
-    """Fits on at most ``limit`` records, those with the lowest hash of their id."""
-    picked = extractions.select("result_id", "page_id", "content", "title", "sitename", site_of(F.coalesce("final_url", "url")).alias("host"), F.xxhash64("result_id").alias("h"))
-    picked = picked.filter(F.col("content").isNotNull()).orderBy("h", "result_id").limit(limit).collect()
+    """Fits on at most ``limit`` records, those with the lowest hash of their id.
+
+    Ids are picked first, below a hash that about 1.5 times as many have, so
+    that what reaches the driver does not grow with the table or its
+    partitions; then the texts of these records only.
+    """
+    ids = extractions.select("result_id", F.xxhash64("result_id").alias("h")).filter(F.col("result_id").isNotNull())
+    share = min(1.0, 1.5 * limit / max(1, extractions.count()))
+    below = ids.filter(F.col("h") <= int((share - 0.5) * (2**64 - 1))) if share < 1 else ids
+    chosen = [r.result_id for r in below.distinct().orderBy("h", "result_id").limit(limit).collect()]
+    picked = extractions.select("result_id", "page_id", "content", "title", "sitename", site_of(F.coalesce("final_url", "url")).alias("host"))
+    picked = picked.filter(F.col("content").isNotNull() & F.col("result_id").isin(chosen)).dropDuplicates(["result_id"]).orderBy("result_id").collect() if chosen else []
     wanted = sorted({r.page_id for r in picked if r.page_id is not None})
     markup = {r.page_id: r.html for r in pages.select("page_id", "html").filter(F.col("page_id").isin(wanted)).collect()} if wanted else {}
     return fit([(r.content, r.title, r.sitename, r.host, markup.get(r.page_id)) for r in picked])
