@@ -1,0 +1,246 @@
+"""Queries of the native page, text, header and change operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pagewright.functions import detect, fingerprint, headers, markdown, rx, scoring
+from pagewright.operators import blocks
+from pagewright.plans.queries import register
+from pagewright.session import site_of, table
+
+C = F.col
+
+
+def _pages(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "page_in")
+
+
+def _records(s: SparkSession, d: str) -> DataFrame:
+    """Records once each, with non-null text and counts."""
+    return table(s, d, "extractions").dropDuplicates(["result_id"])
+
+
+RECORDS = "(SELECT * FROM extractions QUALIFY row_number() OVER (PARTITION BY result_id ORDER BY loaded_at) = 1)"
+TEXTS = "(SELECT DISTINCT result_id, page_id, fetched_at, content, heading_count, link_count, paragraph_count FROM extractions)"
+
+
+def _texts(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "extractions").select("result_id", "page_id", "fetched_at", "content", "heading_count", "link_count", "paragraph_count").distinct()
+
+
+# Detectors.
+register("detect_spa", lambda s, d: _pages(s, d).select("page_id", detect.spa_signals(C("html")).alias("signals")).withColumn("is_spa", F.size("signals") >= 2),
+         f"SELECT page_id, s AS signals, len(s) >= 2 AS is_spa FROM (SELECT page_id, {detect.spa_signals_sql('html')} AS s FROM page_in)")
+register("detect_blocked", lambda s, d: _pages(s, d).select("page_id", detect.is_blocked(C("html")).alias("is_blocked")), f"SELECT page_id, {detect.is_blocked_sql('html')} AS is_blocked FROM page_in")
+register("quick_needs_browser", lambda s, d: _pages(s, d).select("page_id", detect.browser_reason(C("html")).alias("reason")).withColumn("needs_browser", C("reason") != ""),
+         f"SELECT page_id, r AS reason, r <> '' AS needs_browser FROM (SELECT page_id, {detect.browser_reason_sql('html')} AS r FROM page_in)")
+register("soft404", lambda s, d: _pages(s, d).filter("status = 200").select("page_id", detect.soft404_hints(C("html"), C("content_length")).alias("hints")).withColumn("is_soft404", F.size("hints") >= 2),
+         f"SELECT page_id, h AS hints, len(h) >= 2 AS is_soft404 FROM (SELECT page_id, {detect.soft404_hints_sql('html', 'content_length')} AS h FROM page_in WHERE status = 200)")
+register("llm_content", lambda s, d: _texts(s, d).select("result_id", detect.has_llm_text(C("content")).alias("has_llm")), f"SELECT result_id, {detect.has_llm_text_sql('content')} AS has_llm FROM {TEXTS}")
+register("binary_content_type", lambda s, d: _pages(s, d).select("page_id", detect.is_binary(headers.header(headers.lower_keys(C("headers")), "Content-Type")).alias("is_binary")),
+         f"SELECT page_id, {detect.is_binary_sql(headers.header_sql('headers', 'Content-Type'))} AS is_binary FROM page_in")
+register("retryable_errors", lambda s, d: table(s, d, "extractions").select("result_id", F.lit("read tcp: Connection RESET by peer").alias("error")).distinct().select("result_id", detect.is_retryable(C("error")).alias("retry")),
+         f"SELECT DISTINCT result_id, {detect.is_retryable_sql(rx.q('read tcp: Connection RESET by peer'))} AS retry FROM extractions")
+
+# Markdown text.
+register("md_cleanup", lambda s, d: _texts(s, d).select("result_id", markdown.cleanup(C("content")).alias("content")), f"SELECT result_id, {markdown.cleanup_sql('content')} AS content FROM {TEXTS}")
+register("md_counts", lambda s, d: _texts(s, d).select("result_id", markdown.headings(C("content")).alias("headings"), markdown.links(C("content")).alias("links"), markdown.long_lines(C("content")).alias("paragraphs")),
+         f"SELECT result_id, {rx.count_sql('content', markdown.HEADING)} AS headings, {rx.count_sql('content', markdown.LINK)} - {rx.count_sql('content', markdown.IMAGE)} AS links, {markdown.long_lines_sql('content')} AS paragraphs FROM {TEXTS}")
+_FM = "'---' || chr(10) || 'site: x' || chr(10) || 'title: \"' || coalesce(sitename, '') || '\"' || chr(10) || '---' || chr(10) || content"
+register("md_title", lambda s, d: table(s, d, "extractions").select("result_id", "sitename", "content").distinct().select("result_id", markdown.title(C("content")).alias("title"),
+         markdown.title(F.concat(F.lit('---\nsite: x\ntitle: "'), F.coalesce("sitename", F.lit("")), F.lit('"\n---\n'), C("content"))).alias("front_title")),
+         f"SELECT result_id, {markdown.title_sql('content')} AS title, {markdown.title_sql('fm')} AS front_title FROM (SELECT *, {_FM} AS fm FROM (SELECT DISTINCT result_id, sitename, content FROM extractions))")
+register("front_matter", lambda s, d: _texts(s, d).select("result_id", markdown.front_matter(F.concat(F.lit("---\r\na: 1\n---\r\n"), C("content"))).alias("front")),
+         f"SELECT result_id, {markdown.front_matter_sql('x')} AS front FROM (SELECT result_id, '---' || chr(13) || chr(10) || 'a: 1' || chr(10) || '---' || chr(13) || chr(10) || content AS x FROM {TEXTS})")
+register("strip_invisible", lambda s, d: table(s, d, "documents").select("doc_id", F.md5(markdown.strip_invisible(C("text"))).alias("digest")),
+         f"SELECT doc_id, md5(regexp_replace(text, '{markdown.INVISIBLE}', '', 'g')) AS digest FROM documents")
+
+
+def _quality(s: SparkSession, d: str) -> DataFrame:
+    q = _texts(s, d).select("result_id", *[c.alias(n) for n, c in markdown.quality(C("content")).items()])
+    return q.withColumn("score", F.round(markdown.score({c: C(c) for c in q.columns}), 4)).withColumn("text_density", F.round("text_density", 6))
+
+
+_QUALITY_SQL = f"SELECT result_id, {', '.join(f'{x} AS {n}' for n, x in markdown.quality_sql('content').items())} FROM {TEXTS}"
+register("quality_metrics", _quality, f"SELECT * REPLACE (round(text_density, 6) AS text_density), round({markdown.SCORE_SQL}, 4) AS score FROM ({_QUALITY_SQL})")
+
+# Confidence, validation, classes.
+_SIGNALS = "coalesce(len(h), 0)"
+
+
+def _classed(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "extractions").select("result_id", "page_id", F.octet_length("content").alias("length"), "heading_count", "paragraph_count", "status_code").distinct()
+    p = _pages(s, d).select("page_id", detect.spa_signals(C("html")).alias("signals"), detect.is_blocked(C("html")).alias("blocked")).distinct()
+    j = e.join(p, "page_id").withColumn("is_spa", F.size("signals") >= 2)
+    return j.withColumn("conf", scoring.confidence(C("length"), C("heading_count"), C("paragraph_count"), F.size("signals"), C("blocked")))
+
+
+_CLASSED = f"""
+(SELECT *, len(signals) >= 2 AS is_spa, {scoring.confidence_sql('length', 'heading_count', 'paragraph_count', 'len(signals)', 'blocked')} AS conf,
+  list_contains(signals, 'spa-root-element') AND (({scoring.confidence_sql('length', 'heading_count', 'paragraph_count', 'len(signals)', 'blocked')} >= 50 AND length > 500) OR (heading_count >= 1 AND paragraph_count >= 2)) AS hydrated,
+  heading_count >= 2 AND paragraph_count >= 3 AND length > 1000 AS ssr
+FROM (SELECT DISTINCT result_id, page_id, strlen(content) AS length, heading_count, paragraph_count, status_code FROM extractions)
+JOIN (SELECT DISTINCT page_id, {detect.spa_signals_sql('html')} AS signals, {detect.is_blocked_sql('html')} AS blocked FROM page_in) USING (page_id))
+"""
+register("confidence", lambda s, d: _classed(s, d).select("result_id", C("conf").alias("confidence")), f"SELECT result_id, conf AS confidence FROM {_CLASSED}")
+register("validation", lambda s, d: _texts(s, d).select("result_id", scoring.validation(C("content"), C("heading_count"), C("paragraph_count"), C("link_count")).alias("v")).select("result_id", "v.*"),
+         scoring.validation_sql(TEXTS, "result_id", "content", "heading_count", "paragraph_count", "link_count"))
+
+
+def _profiles(s: SparkSession, d: str) -> DataFrame:
+    c = _classed(s, d)
+    return c.withColumn("p", scoring.profile(C("conf"), C("length"), C("heading_count"), C("paragraph_count"), C("signals"), C("is_spa"), C("blocked")))
+
+
+register("classify_page", lambda s, d: _profiles(s, d).select("result_id", "p.class", "p.outcome", "p.reasons", "p.confidence", "p.trustworthy", scoring.display(C("p")).alias("display")),
+         f"SELECT result_id, p.class AS class, p.outcome AS outcome, p.reasons AS reasons, conf AS confidence, p.trustworthy AS trustworthy, concat_ws(' ', p.class, CASE WHEN p.trustworthy THEN '✓' ELSE '⚠' END, '→', p.outcome) AS display FROM (SELECT *, {scoring.PROFILE_SQL} AS p FROM {_CLASSED})")
+register("class_rollup", lambda s, d: _profiles(s, d).select("p.class", "p.outcome").rollup("class", "outcome").agg(F.count(F.lit(1)).alias("n")),
+         f"SELECT p.class AS class, p.outcome AS outcome, count(*) AS n FROM (SELECT {scoring.PROFILE_SQL} AS p FROM {_CLASSED}) GROUP BY ROLLUP (p.class, p.outcome)")
+_REASONS = "CASE status " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in scoring.STATUS_REASONS.items()) + " END"
+register("status_profile", lambda s, d: _pages(s, d).select("page_id", "status", scoring.status_reason(C("status")).alias("reason")).withColumn("is_blocked", C("reason").isNotNull()),
+         f"SELECT page_id, status, {_REASONS} AS reason, {_REASONS} IS NOT NULL AS is_blocked FROM page_in")
+
+# Fingerprints and change.
+register("fingerprint", lambda s, d: _texts(s, d).select("result_id", fingerprint.fingerprint(C("content")).alias("fingerprint")), f"SELECT result_id, {fingerprint.fingerprint_sql('content')} AS fingerprint FROM {TEXTS}")
+register("fingerprint_mail", lambda s, d: table(s, d, "documents").select("doc_id", fingerprint.fingerprint(C("text")).alias("fingerprint")), f"SELECT doc_id, {fingerprint.fingerprint_sql('text')} AS fingerprint FROM documents")
+
+
+def _versions(s: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("page_id").orderBy("fetched_at", "result_id")
+    v = _texts(s, d).select("page_id", "result_id", "fetched_at", "content", fingerprint.normal(C("content")).alias("norm"))
+    return v.withColumns({"old_id": F.lag("result_id").over(w), "old": F.lag("norm").over(w), "old_content": F.lag("content").over(w)})
+
+
+_VERSIONS = f"""(SELECT page_id, result_id, content, norm, lag(result_id) OVER w AS old_id, lag(norm) OVER w AS old, lag(content) OVER w AS old_content
+FROM (SELECT *, {fingerprint.normal_sql('content')} AS norm FROM {TEXTS}) WINDOW w AS (PARTITION BY page_id ORDER BY fetched_at, result_id))"""
+register("change_lag", lambda s, d: _versions(s, d).filter("old_id is not null").select("page_id", "old_id", C("result_id").alias("new_id"), (C("old") != C("norm")).alias("changed")),
+         f"SELECT page_id, old_id, result_id AS new_id, old <> norm AS changed FROM {_VERSIONS} WHERE old_id IS NOT NULL")
+register("change_significance", lambda s, d: _versions(s, d).filter("old_id is not null").select("old_id", C("result_id").alias("new_id"), fingerprint.significance(C("old"), C("norm")).alias("significance")),
+         f"SELECT old_id, result_id AS new_id, {fingerprint.significance_sql('old', 'norm')} AS significance FROM {_VERSIONS} WHERE old_id IS NOT NULL")
+register("near_duplicate_score", lambda s, d: _versions(s, d).filter("old_id is not null").select("old_id", C("result_id").alias("new_id"), blocks.near_duplicate_score(C("old_content"), C("content")).alias("score")),
+         f"SELECT old_id, result_id AS new_id, {blocks.near_duplicate_score_sql('old_content', 'content')} AS score FROM {_VERSIONS} WHERE old_id IS NOT NULL")
+
+
+def _changed(s: SparkSession, d: str) -> DataFrame:
+    """First against latest version of every page."""
+    t = _texts(s, d).withColumn("fp", fingerprint.fingerprint(C("content")))
+    at = F.struct("fetched_at", "result_id")
+    old = t.filter("fetched_at < timestamp'2024-07-01'").groupBy("page_id").agg(F.max_by("fp", at).alias("old_fp"))
+    new = t.filter("fetched_at >= timestamp'2024-07-01'").groupBy("page_id").agg(F.max_by("fp", at).alias("new_fp"))
+    state = F.when(C("old_fp").isNull(), "added").when(C("new_fp").isNull(), "removed").when(C("old_fp") == C("new_fp"), "same").otherwise("changed")
+    return old.join(new, "page_id", "full_outer").select("page_id", state.alias("state"))
+
+
+register("content_changed_join", _changed, f"""
+WITH t AS (SELECT page_id, fetched_at, result_id, {fingerprint.fingerprint_sql('content')} AS fp FROM {TEXTS}),
+o AS (SELECT page_id, max_by(fp, (fetched_at, result_id)) AS old_fp FROM t WHERE fetched_at < TIMESTAMP '2024-07-01' GROUP BY page_id),
+n AS (SELECT page_id, max_by(fp, (fetched_at, result_id)) AS new_fp FROM t WHERE fetched_at >= TIMESTAMP '2024-07-01' GROUP BY page_id)
+SELECT page_id, CASE WHEN old_fp IS NULL THEN 'added' WHEN new_fp IS NULL THEN 'removed' WHEN old_fp = new_fp THEN 'same' ELSE 'changed' END AS state FROM o FULL JOIN n USING (page_id)""")
+
+# Block and line dedupe.
+_BLOCKS = rf"""
+WITH t AS (SELECT result_id, content FROM {TEXTS}),
+lines AS (SELECT result_id, b.i AS bi, l.i AS li, l.x AS line, len(b.parts) AS n FROM (SELECT result_id, unnest(range(len(bs))) AS i, string_split(unnest(bs), chr(10)) AS parts FROM (SELECT result_id, string_split(content, chr(10) || chr(10)) AS bs FROM t)) b,
+  LATERAL (SELECT unnest(range(len(b.parts))) AS i, unnest(b.parts) AS x) l),
+marked AS (SELECT *, n > 1 AND regexp_matches(line, '^#{{1,6}}[\t\n\f\r ]+.+') AS head FROM lines),
+grouped AS (SELECT *, sum(CASE WHEN head OR prev THEN 1 ELSE 0 END) OVER (PARTITION BY result_id, bi ORDER BY li) AS g FROM (SELECT *, coalesce(lag(head) OVER (PARTITION BY result_id, bi ORDER BY li), false) AS prev FROM marked)),
+pieces AS (SELECT result_id, bi, g, string_agg(line, chr(10) ORDER BY li) AS block FROM grouped GROUP BY ALL),
+bare AS (SELECT *, row_number() OVER (PARTITION BY result_id ORDER BY bi, g) - 1 AS pos, {rx.trim_sql('block')} AS trimmed FROM pieces),
+hashed AS (SELECT *, CASE WHEN trimmed <> '' AND (strlen(trimmed) >= 20 OR starts_with(trimmed, '#')) THEN substr(sha256({blocks.normal_block_sql('trimmed')}), 1, 16) END AS hash FROM bare),
+ranked AS (SELECT *, CASE WHEN hash IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY result_id, hash ORDER BY pos) END AS nth FROM hashed)
+"""
+register("dedupe_blocks", lambda s, d: blocks.blocks(_texts(s, d), "result_id", "content").select("result_id", C("pos").cast("bigint"), "hash", C("kept")), f"{_BLOCKS} SELECT result_id, pos, hash, nth = 1 AS kept FROM ranked")
+register("dedupe_metrics", lambda s, d: blocks.dedupe(_texts(s, d), "result_id", "content"), f"""{_BLOCKS}
+SELECT result_id, {rx.trim_sql("regexp_replace(string_agg(CASE WHEN nth = 1 THEN block END, chr(10) || chr(10) ORDER BY pos), '\n{3,}', chr(10) || chr(10), 'g')")} AS content, count(*) AS original_blocks,
+  count_if(nth = 1 AND trimmed <> '') AS unique_blocks, count_if(nth > 1) AS duplicates_found, list_sort(coalesce(list_distinct(list({blocks.duplicate_kind_sql('trimmed')}) FILTER (nth > 1)), [])) AS duplicate_signals
+FROM ranked GROUP BY result_id""")
+register("dedupe_signals", lambda s, d: blocks.blocks(_texts(s, d), "result_id", "content").filter(~C("kept")).groupBy(blocks.duplicate_kind(C("trimmed")).alias("signal")).agg(F.count(F.lit(1)).alias("n")),
+         f"{_BLOCKS} SELECT {blocks.duplicate_kind_sql('trimmed')} AS signal, count(*) AS n FROM ranked WHERE nth > 1 GROUP BY 1")
+register("dedupe_lines", lambda s, d: blocks.dedupe_lines(_texts(s, d), "result_id", "content"), f"""
+WITH l AS (SELECT result_id, unnest(range(len(p))) AS pos, unnest(p) AS line FROM (SELECT result_id, string_split(content, chr(10)) AS p FROM {TEXTS})),
+k AS (SELECT *, lower({rx.trim_sql('line')}) AS key FROM l)
+SELECT result_id, string_agg(line, chr(10) ORDER BY pos) AS content FROM (SELECT *, row_number() OVER (PARTITION BY result_id, key ORDER BY pos) AS nth FROM k) WHERE key = '' OR nth = 1 GROUP BY result_id""")
+
+
+def _incremental(s: SparkSession, d: str) -> DataFrame:
+    b = blocks.blocks(_texts(s, d), "result_id", "content").filter("hash is not null").join(_texts(s, d).select("result_id", "fetched_at"), "result_id").select("result_id", "hash", (C("fetched_at") < F.expr("timestamp'2024-07-01'")).alias("old")).distinct()
+    return blocks.unseen(b.filter("not old"), b.filter("old")).groupBy("result_id").agg(F.count(F.lit(1)).alias("new_blocks"))
+
+
+register("dedupe_incremental_anti", _incremental, f"""{_BLOCKS}
+SELECT result_id, count(DISTINCT hash) AS new_blocks FROM ranked WHERE hash IS NOT NULL AND result_id IN (SELECT result_id FROM extractions WHERE fetched_at >= TIMESTAMP '2024-07-01')
+  AND hash NOT IN (SELECT hash FROM ranked WHERE hash IS NOT NULL AND result_id IN (SELECT result_id FROM extractions WHERE fetched_at < TIMESTAMP '2024-07-01')) GROUP BY result_id""")
+
+# Headers.
+_H = lambda: headers.lower_keys(C("headers"))
+register("header_projection", lambda s, d: _pages(s, d).withColumn("h", _H()).select("page_id", *[headers.header(C("h"), n).alias(headers.name_of(n)) for n in headers.HEADERS]),
+         "SELECT page_id, " + ", ".join(f"{headers.header_sql('headers', n)} AS {headers.name_of(n)}" for n in headers.HEADERS) + " FROM page_in")
+#: Header maps that reach every rule, made from the page number.
+_FAKE = [n for n in dict.fromkeys(r[0] for r in headers.CDN_RULES) if n != "X-Shopify-*"] + ["X-Shopify-Stage", "X-Shopify-Request-ID"]
+_CASES = [(n, p) for n, p, *_ in headers.CDN_RULES if n != "X-Shopify-*"] + [("X-Shopify-Stage", ""), ("X-Shopify-Request-ID", ""), ("Server", "")]
+
+
+def _fake_headers(s: SparkSession, d: str) -> DataFrame:
+    case = F.pmod(C("page_id"), F.lit(len(_CASES)))
+    name, part = F.lit(""), F.lit("")
+    for i, (n, p) in enumerate(_CASES):
+        name, part = F.when(case == i, n.upper() if i % 2 else n).otherwise(name), F.when(case == i, p).otherwise(part)
+    made = F.create_map(name, F.concat(F.lit("1.1 a "), part, F.lit(" (X)")))
+    return _pages(s, d).select("page_id", F.map_concat(F.map_filter(F.coalesce(C("headers"), F.create_map().cast("map<string,string>")), lambda k, v: F.lower(k) != F.lower(name)), made).alias("headers"))
+
+
+_FAKE_SQL = (
+    "(SELECT page_id, map_concat(coalesce(headers, MAP {}), MAP {" + "CASE page_id % " + str(len(_CASES)) + " " + " ".join(f"WHEN {i} THEN {rx.q(n.upper() if i % 2 else n)}" for i, (n, _) in enumerate(_CASES)) + " END: "
+    "'1.1 a ' || CASE page_id % " + str(len(_CASES)) + " " + " ".join(f"WHEN {i} THEN {rx.q(p)}" for i, (_, p) in enumerate(_CASES)) + " END || ' (X)'}) AS headers FROM page_in)"
+)
+register("cdn_fingerprint", lambda s, d: _fake_headers(s, d).select("page_id", headers.cdn(_H()).alias("c")).select("page_id", "c.*"),
+         f"SELECT page_id, {headers.cdn_sql('headers')[0]} AS provider, {headers.cdn_sql('headers')[1]} AS signals FROM {_FAKE_SQL}")
+_VIA = "'1.1 varnish, HTTP/2 h' || page_id || ' (squid, x), (only), cache-' || page_id || ', ,1.0  b c'"
+_VIA_HOP = f"""{{'protocol': CASE WHEN len(f) >= 2 THEN f[1] ELSE '' END, 'host': CASE WHEN len(f) >= 2 THEN f[2] ELSE coalesce(f[1], '') END, 'comment': c}}"""
+register("via_hops", lambda s, d: _pages(s, d).select("page_id", headers.via_hops(F.concat(F.lit("1.1 varnish, HTTP/2 h"), C("page_id").cast("string"), F.lit(" (squid, x), (only), cache-"), C("page_id").cast("string"), F.lit(", ,1.0  b c"))).alias("hops")).withColumn("proxy_layers", F.size("hops").cast("bigint")),
+         f"""WITH p AS (SELECT page_id, list_filter(list_transform(string_split({_VIA}, ','), lambda x: {rx.trim_sql('x')}), lambda x: x <> '') AS parts FROM page_in),
+e AS (SELECT page_id, list_transform(parts, lambda x: regexp_extract(x, '(?s)^[^(]*(\\(.*\\))', 1)) AS cs, parts FROM p),
+h AS (SELECT page_id, list_transform(list_zip(parts, cs), lambda z: {{'f': {rx.words_sql("CASE WHEN z[2] <> '' THEN string_split(z[1], '(')[1] ELSE z[1] END")}, 'c': z[2]}}) AS zs FROM e),
+o AS (SELECT page_id, list_filter(list_transform(zs, lambda z: {_VIA_HOP.replace('len(f)', 'len(z.f)').replace('f[1]', 'z.f[1]').replace('f[2]', 'z.f[2]').replace("'comment': c", "'comment': z.c")}), lambda s: s.host <> '' OR s.protocol <> '') AS hops FROM h)
+SELECT page_id, hops, len(hops) AS proxy_layers FROM o""")
+_TRACE = ("CASE page_id % 3 WHEN 0 THEN lpad(to_hex(page_id), 16, '0') WHEN 1 THEN lpad(to_hex(page_id), 32, '0') ELSE 'zz' END", "'00-' || upper(lpad(to_hex(page_id), 32, '0')) || '-aa-01'")
+
+
+def _traced(s: SparkSession, d: str) -> DataFrame:
+    i, hexed = C("page_id"), F.hex("page_id")
+    b3 = F.when(i % 3 == 0, F.lpad(hexed, 16, "0")).when(i % 3 == 1, F.lpad(hexed, 32, "0")).otherwise("zz")
+    entries = F.create_map(F.lit("traceparent"), F.concat(F.lit("00-"), F.lpad(hexed, 32, "0"), F.lit("-aa-01")), F.when(i % 2 == 0, "b3").otherwise("x-b3-traceid"), F.when(i % 2 == 0, F.concat(b3, F.lit("-1"))).otherwise(b3), F.when(i % 5 == 0, "x-amzn-trace-id").otherwise("x-trace-id"), F.lit("r"))
+    return _pages(s, d).select("page_id", headers.trace(entries).alias("t")).select("page_id", "t.*")
+
+
+register("trace_info", _traced, """
+SELECT page_id, ['w3c', 'b3', CASE WHEN page_id % 5 = 0 THEN 'xray' ELSE 'generic' END] AS formats, CASE WHEN page_id % 3 < 2 THEN 'b3-w3c-match' ELSE '' END AS correlation FROM page_in""")
+_LINK = "'<https://a/' || page_id || '>; rel=\"LLMS-txt\", <https://b/x>; rel=preload' || CASE WHEN page_id % 2 = 0 THEN ', <https://full/' || page_id || '>; rel=llms-full-txt' ELSE '' END"
+register("llms_txt_url", lambda s, d: _pages(s, d).select("page_id", headers.llms_txt(F.concat(F.lit("<https://a/"), C("page_id").cast("string"), F.lit('>; rel="LLMS-txt", <https://b/x>; rel=preload'), F.when(C("page_id") % 2 == 0, F.concat(F.lit(", <https://full/"), C("page_id").cast("string"), F.lit(">; rel=llms-full-txt"))).otherwise("")), F.lit("/x")).alias("url")),
+         "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'https://full/' || page_id ELSE 'https://a/' || page_id END AS url FROM page_in")
+register("url_host", lambda s, d: table(s, d, "extractions").select("result_id", F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")).alias("domain"), site_of(F.coalesce("final_url", "url")).alias("site")).distinct(),
+         r"SELECT DISTINCT result_id, regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1) AS domain, regexp_replace(lower(regexp_extract(coalesce(final_url, url), '^[A-Za-z]+://([^/:?#]*)', 1)), '^(www\.|m\.)', '') AS site FROM extractions")
+
+
+def _configured(s: SparkSession, d: str) -> DataFrame:
+    cfg = table(s, d, "domain_cfg").groupBy(F.lower(F.trim("domain")).alias("site")).agg(F.max("timeout_ms").alias("t"), F.max("max_retries").alias("r"))
+    p = _pages(s, d).select("page_id", site_of(C("url")).alias("site"))
+    return p.join(cfg, "site", "left").select("page_id", F.coalesce(F.when(C("t") > 0, C("t")), F.lit(30000)).cast("bigint").alias("timeout_ms"), F.coalesce(F.when(C("r") > 0, C("r")), F.lit(0)).cast("bigint").alias("max_retries"))
+
+
+register("domain_config_join", _configured, r"""
+SELECT page_id, coalesce(CASE WHEN t > 0 THEN t END, 30000)::BIGINT AS timeout_ms, coalesce(CASE WHEN r > 0 THEN r END, 0)::BIGINT AS max_retries
+FROM (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]*)', 1)), '^(www\.|m\.)', '') AS site FROM page_in)
+LEFT JOIN (SELECT lower(trim(domain)) AS site, max(timeout_ms) AS t, max(max_retries) AS r FROM domain_cfg GROUP BY 1) USING (site)""")
+register("redirect_chain", lambda s, d: _pages(s, d).select("page_id", F.size(F.coalesce(F.slice("redirect_chain", 1, 10), F.array().cast("array<string>"))).cast("bigint").alias("redirects"), F.coalesce(F.get("redirect_chain", F.least(F.size("redirect_chain"), F.lit(10)) - 1), F.lit("")).alias("last_from")),
+         "SELECT page_id, coalesce(len(redirect_chain[1:10]), 0) AS redirects, coalesce(redirect_chain[1:10][-1], '') AS last_from FROM page_in")
+register("redirect_lag", lambda s, d: _pages(s, d).select("page_id", F.posexplode("redirect_chain").alias("hop", "to_url")).distinct().withColumn("from_url", F.lag("to_url").over(Window.partitionBy("page_id").orderBy("hop"))).select("page_id", C("hop").cast("bigint"), "from_url", "to_url"),
+         "SELECT page_id, hop, lag(u) OVER (PARTITION BY page_id ORDER BY hop) AS from_url, u AS to_url FROM (SELECT DISTINCT page_id, unnest(range(len(redirect_chain))) AS hop, unnest(redirect_chain) AS u FROM page_in)")
+register("winner_tally", lambda s, d: table(s, d, "extractions").select("result_id", F.octet_length("content").alias("ours"), C("length").alias("theirs")).distinct().agg(F.count_if(C("ours") > C("theirs") * 1.2).alias("wins"), F.count_if(C("theirs") > C("ours") * 1.2).alias("losses"), F.count(F.lit(1)).alias("total"), F.round(F.avg("ours"), 4).alias("mean")),
+         "SELECT count_if(o > t * 1.2) AS wins, count_if(t > o * 1.2) AS losses, count(*) AS total, round(avg(o), 4) AS mean FROM (SELECT DISTINCT result_id, strlen(content) AS o, length AS t FROM extractions)")
+register("median_size", lambda s, d: table(s, d, "extractions").select("result_id", "status_code", "length").distinct().groupBy("status_code").agg(F.median("length").alias("median")),
+         "SELECT status_code, median(length) AS median FROM (SELECT DISTINCT result_id, status_code, length FROM extractions) GROUP BY 1")
+register("fixture_rollup", lambda s, d: table(s, d, "extractions").select("result_id", "status_code", "content").distinct().select(C("status_code").alias("category"), fingerprint.fingerprint(C("content")).alias("fp")).groupBy("category").agg(F.count(F.lit(1)).alias("fixtures"), F.sha2(F.array_join(F.array_sort(F.collect_list("fp")), ""), 256).alias("aggregate_hash")),
+         f"SELECT category, count(*) AS fixtures, sha256(string_agg(fp, '' ORDER BY fp)) AS aggregate_hash FROM (SELECT status_code AS category, {fingerprint.fingerprint_sql('content')} AS fp FROM (SELECT DISTINCT result_id, status_code, content FROM extractions)) GROUP BY 1")
