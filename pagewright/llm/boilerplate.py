@@ -71,7 +71,7 @@ def line_features(line: str, names: frozenset[str]) -> list[str]:
     else:
         tokens = ["0" if t[0].isdigit() else "\x01" if t in names else t for t in _TOKEN.findall(low)]
         out = tokens + [a + " " + b for a, b in zip(tokens, tokens[1:])]
-        out.append("^" + tokens[0])
+        out.append("^" + tokens[0] if tokens else "^")
         out.append("~upper" if line.isupper() else "~title" if line.istitle() else "~mixed")
         out.append(f"~length {min(6, len(tokens).bit_length())}")
     first = line[0]
