@@ -283,10 +283,12 @@ def test_pattern_is_the_published_one():
 # 10
 
 
+WIDE = {i: unicodedata.normalize("NFKC", chr(i)) for i in range(0xFF01, 0xFF5F)} | {i: " " for i in range(0x3001) if unicodedata.category(chr(i)) == "Zs"}
+GONE = {ord(c): None for c in "​‌‍⁠﻿­"}
+
+
 def brute_look(text):
-    wide = {i: unicodedata.normalize("NFKC", chr(i)) for i in range(0xFF01, 0xFF5F)} | {i: " " for i in range(0x110000) if unicodedata.category(chr(i)) == "Zs"}
-    gone = {ord(c): None for c in "​‌‍⁠﻿­"}
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text.translate(gone).translate(wide)).translate(str.maketrans(lookalike.LETTERS)))
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text.translate(GONE).translate(WIDE)).translate(str.maketrans(lookalike.LETTERS)))
 
 
 def test_look_alikes(spark):
