@@ -12,4 +12,6 @@ def spark():
 
     s = local_session("tests", 4)
     s.sparkContext.setLogLevel("ERROR")
+    s.conf.set("spark.sql.shuffle.partitions", "2")  # small inputs: the jobs' own cost is what counts
+    s.conf.set("spark.sql.adaptive.enabled", "false")
     return s
