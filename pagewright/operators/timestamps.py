@@ -210,7 +210,7 @@ def resolve(values: DataFrame, rounds: int = 12, sure: float = 0.9) -> DataFrame
     posterior, ambiguous and utc_micros (null where the value is ambiguous or
     has no zone).  A null source is a source of its own.  Repeated rows stay.
     """
-    read = values.withColumn("r", readings_udf("raw"))
+    read = values.select("field", "record_id", "pos", "raw", "source", "zone", "locale").withColumn("r", readings_udf("raw"))
     first = F.coalesce(F.col("locale"), F.lit(""))
     barred = F.when(first == "unknown", F.lit("")).when(first == "en-US", F.lit("slash_dmy")).otherwise(F.lit("slash_mdy"))
     read = (
