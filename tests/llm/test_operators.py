@@ -207,6 +207,13 @@ def test_style_tree_cuts_what_every_page_repeats(spark):
     assert markup.structure(df).count() == 24
 
 
+@pytest.mark.parametrize("copies", [6, 22])
+def test_what_stands_on_every_page_is_reported(spark, copies):
+    df = records(spark, [(i, "<h2>Our shops</h2><ul><li>x</li></ul>") for i in range(copies)])
+    got = markup.structure(df).collect()
+    assert len(got) == 2 * copies and {r.importance for r in got} == {0.0}
+
+
 # 6
 
 
