@@ -9,7 +9,7 @@ site is spread over all tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.session import checkpoint, site_of
@@ -65,11 +65,13 @@ def repeated_lines(extractions: DataFrame, min_records: int = MIN_RECORDS, min_s
     return line_texts(lines, frequent).drop("line_id")
 
 
-def repeated_sequences(extractions: DataFrame, min_records: int = MIN_RECORDS, min_share: float = MIN_SHARE, max_length: int = 4) -> DataFrame:
-    """site, length, lines, support: every frequent sequence of up to max_length frequent lines.
+def repeated_sequences(extractions: DataFrame, min_records: int = MIN_RECORDS, min_share: float = MIN_SHARE, max_length: int | None = None) -> DataFrame:
+    """site, length, lines, support: every frequent sequence of frequent lines, of any length unless max_length is given.
 
     The next line of a sequence is the next frequent line of the record; other
-    lines between them are passed over.
+    lines between them are passed over.  Each place of a record keeps the key
+    of the frequent sequence that begins there; two neighbouring keys make a
+    candidate that is one line longer, until a level is empty.
     """
     lines = record_lines(extractions)
     frequent = checkpoint(frequent_lines(lines, min_records, min_share))
@@ -77,23 +79,27 @@ def repeated_sequences(extractions: DataFrame, min_records: int = MIN_RECORDS, m
     placed = placed.join(frequent.select("site", "line_id", "site_records"), ["site", "line_id"])
     rows = placed.groupBy("site", "result_id", "site_records").agg(F.array_sort(F.collect_set(F.struct("pos", "line"))).alias("s"))
     rows = checkpoint(rows.select("site", "result_id", "site_records", F.col("s.line").alias("s")))  # a record's own frequent lines
-    found, length, alive = [], 1, None
-    while length <= max_length:
-        grams = rows.withColumn("n", F.size("s") - length + 1).filter("n > 0")
-        grams = grams.select("site", "result_id", "site_records", F.explode(F.array_distinct(F.expr(f"transform(sequence(1, n), i -> slice(s, i, {length}))"))).alias("lines"))
-        if alive is not None:  # grow only from frequent prefixes
-            grams = grams.withColumn("prefix", F.xxhash64(F.slice("lines", 1, length - 1))).join(alive, ["site", "prefix"], "left_semi")
-        level = grams.groupBy("site", "lines").agg(F.count_distinct("result_id").alias("support"), F.min("site_records").alias("site_records"))
+    keys = rows.select("site", "result_id", "site_records", F.posexplode(F.transform("s", lambda x: F.xxhash64(x))).alias("pos", "key"))
+    record = Window.partitionBy("site", "result_id").orderBy("pos")
+    found, length = [], 1
+    while max_length is None or length <= max_length:
+        level = keys.groupBy("site", "key").agg(
+            F.count_distinct("result_id").alias("support"), F.min("site_records").alias("site_records"),
+            F.first("result_id").alias("result_id"), F.first("pos").alias("pos"),  # any one place, to read the lines there
+        )
         level = checkpoint(level.filter((F.col("support") >= min_records) & (F.col("support") >= F.col("site_records") * min_share)).withColumn("length", F.lit(length)))
         if level.isEmpty():
             break
         found.append(level)
-        alive = level.select("site", F.xxhash64("lines").alias("prefix"))
+        keys = keys.join(level.select("site", "key"), ["site", "key"], "left_semi")  # grow only from frequent sequences
+        keys = keys.withColumns({"next": F.lead("key").over(record), "next_pos": F.lead("pos").over(record)}).filter("next_pos = pos + 1")
+        keys = checkpoint(keys.select("site", "result_id", "site_records", "pos", F.xxhash64("key", "next").alias("key")))
         length += 1
-    out = found[0] if found else rows.select("site", F.col("s").alias("lines"), F.lit(0).cast("bigint").alias("support"), "site_records", F.lit(0).alias("length")).limit(0)
+    out = found[0] if found else level
     for level in found[1:]:
         out = out.unionByName(level)
-    return out.select("site", "length", "lines", "support")
+    out = out.drop("site_records").join(rows.select("site", "result_id", "s"), ["site", "result_id"])
+    return out.select("site", "length", F.expr("slice(s, pos + 1, length)").alias("lines"), "support")
 
 
 def without_repeated_lines(extractions: DataFrame, min_records: int = MIN_RECORDS, min_share: float = MIN_SHARE) -> DataFrame:

@@ -227,6 +227,26 @@ def test_site_lines(spark):
     assert clean[5] == ("own f words here\nshort", 2) and len(clean) == 8
 
 
+def test_sequences_of_any_length(spark):
+    """Against counting every run of every record; one line stands twice, so places of equal sequences meet."""
+    rng = random.Random(4)
+    menu = [f"shared line {chr(97 + i)}" for i in range(9)] + ["shared line a"]
+    rows = []
+    for i in range(12):
+        own = menu[rng.randint(0, 2) : rng.randint(7, 10)]
+        own.insert(rng.randint(0, len(own)), f"own words {chr(97 + i)}{chr(98 + i)}")
+        rows.append((i, "\n".join(own)))
+    count = {}
+    for _, text in rows:
+        own = [x for x in text.split("\n") if x in menu]
+        for g in {tuple(own[a:b]) for a in range(len(own)) for b in range(a + 1, len(own) + 1)}:
+            count[g] = count.get(g, 0) + 1
+    got = [(r.length, tuple(r.lines), r.support) for r in sitelines.repeated_sequences(records(spark, rows + rows[:3])).collect()]
+    assert sorted(got) == sorted((len(g), g, n) for g, n in count.items() if n >= 5) and max(got)[0] > 4
+    short = sitelines.repeated_sequences(records(spark, rows), max_length=2).collect()
+    assert {(r.length, tuple(r.lines), r.support) for r in short} == {g for g in got if g[0] <= 2}
+
+
 # 8
 
 
