@@ -7,6 +7,10 @@ joined with those of the items.  The words behind the placeholders are the
 slots of a window: equal slots are a verbatim leak, a one-to-one renaming of
 slots is a re-parameterised one.  Since equal words have equal templates, no
 verbatim leak is missed.
+
+A corpus window has up to two more templates, for names that no item uses:
+in one, capitalised words that the items never write are names as well, in
+the other also those with a capital inside a sentence.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from pagewright.session import bounded_broadcast
 WINDOW = 12
 #: Up to so many item windows are also given to the readers, so that only matching corpus windows leave them (8 bytes each).
 PREFILTER_WINDOWS = 2_000_000
+#: Tokens of the readers' memory are forgotten between batches beyond this.
+KNOWN_TOKENS = 500_000
 # Units of measurement and time.
 UNITS = frozenset(
     "percent litre litres liter liters metre metres meter meters kilometre kilometres kilometer kilometers km cm mm kg gram grams kilogram kilograms ton tons tonne tonnes "
@@ -46,9 +52,26 @@ def item_text(text: str | None) -> str:
     return (text or "").partition("\n")[2]
 
 
+def capitalised(bare: str) -> bool:
+    """Whether a word without its punctuation begins with a capital of any script and is not all capitals."""
+    return bare[:1].isupper() and not bare.isupper()
+
+
+def inside(token: str) -> bool:
+    """Whether a sentence goes on after this token."""
+    return token.rstrip("\"')]}»”’")[-1:] not in (".", "!", "?", ":", "…", "")
+
+
 def names_in(text: str) -> set[str]:
-    """Words with a capital that do not begin a sentence."""
-    return {w.lower() for w in re.findall(r"(?<=[a-z,;] )([A-Z][a-z]+)", text)}
+    """Words with a capital that do not begin a sentence or line."""
+    out = set()
+    for line in text.splitlines():
+        tokens = line.split()
+        for before, token in zip(tokens, tokens[1:]):
+            bare = _PUNCT.sub("", token)
+            if capitalised(bare) and inside(before):
+                out.add(bare.lower())
+    return out
 
 
 def canonical(word: str, names: frozenset[str]) -> str:
@@ -75,40 +98,56 @@ def window_hashes(h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Hashes of words and of their canonical forms, remembered."""
-
-    def __init__(self, names: frozenset[str]) -> None:
-        self.names, self.known = names, {}
-
-    def hashes(self, words: list[str]) -> np.ndarray:
-        known = self.known
-        out = np.empty((len(words), 2), np.uint64)
-        for i, w in enumerate(words):
-            x = known.get(w)
-            if x is None:
-                x = (_hash(w), _hash(canonical(w, self.names)))
-                if len(known) < 500_000:
-                    known[w] = x
-            out[i] = x
+    """What is known of each token between white space, as columns by its number."""
+
+    def __init__(self, names: frozenset[str], ordinary: frozenset[str] = frozenset()) -> None:
+        self.names, self.ordinary = names, ordinary
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.words: list[str] = []
+        self.rows: list[tuple] = []
+
+    def numbers(self, text: str) -> list[int]:
+        known, out = self.known, []
+        for token in text.split():
+            k = known.get(token)
+            out.append(self._add(token) if k is None else k)
         return out
 
+    def _add(self, token: str) -> int:
+        bare = _PUNCT.sub("", token)
+        word = bare.lower()
+        self.known[token] = k = len(self.words)
+        self.words.append(word)
+        shown = canonical(word, self.names) if word else ""
+        capital = capitalised(bare) and shown == word
+        self.rows.append((_hash(word), _hash(shown), shown != word, capital and word not in self.ordinary, capital, inside(token)))
+        return k
+
+    def columns(self) -> list[np.ndarray]:
+        """exact, template, typed, foreign (a capital, and no item has the word), capital, inside (the sentence goes on after it)."""
+        return [np.array(c, np.uint64 if i < 2 else bool) for i, c in enumerate(zip(*self.rows))]
+
 
 def slots_of(words: list[str], names: frozenset[str]) -> list[str]:
     return [w for w in words if canonical(w, names)[0] == "\x01"]
 
 
+_NAME = np.uint64(_hash("\x01name"))
+
+
 def _signed(a: np.ndarray) -> np.ndarray:
     return a.astype(np.int64)
 
 
 def item_windows(rows: list[tuple], names: frozenset[str]) -> list[tuple]:
     """(item_id, template, exact, slots) of every window of every item."""
-    words = Words(names)
     out = []
     for item, text in rows:
         ws = words_of(item_text(text))
-        h = words.hashes(ws)
-        exact, template = _signed(window_hashes(h[:, 0])), _signed(window_hashes(h[:, 1]))
+        exact, template = (_signed(window_hashes(np.array([_hash(w) for w in x], np.uint64))) for x in (ws, [canonical(w, names) for w in ws]))
         out += [(item, int(t), int(e), slots_of(ws[k : k + WINDOW], names)) for k, (t, e) in enumerate(zip(template, exact))]
     return out
 
@@ -122,36 +161,51 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _TYPES)], names=["id", "template", "exact", "slots"])
 
 
-def corpus_windows(documents: DataFrame, names: frozenset[str], wanted: np.ndarray | None) -> DataFrame:
-    """id, template, exact, slots of the corpus windows; only those with a wanted template unless that is None."""
+def corpus_windows(documents: DataFrame, names: frozenset[str], wanted: np.ndarray | None, ordinary: frozenset[str] = frozenset()) -> DataFrame:
+    """id, template, exact, slots of the corpus windows, once for each different template; only wanted templates unless that is None.
+
+    ordinary are the items' words that are no names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(names)
+        words = Words(names, ordinary)
         for b in batches:
-            all_words: list[str] = []
-            spans: list[tuple[int, int, int]] = []
+            if len(words.words) > KNOWN_TOKENS:
+                words.clear()
+            numbers: list[int] = []
+            spans: list[tuple[int, int]] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for part in readable(text):
-                    ws = words_of(part)
-                    if len(ws) >= WINDOW:
-                        spans.append((doc, len(all_words), len(all_words) + len(ws)))
-                        all_words += ws
+                    found = words.numbers(part)
+                    if len(found) >= WINDOW:
+                        spans.append((doc, len(numbers)))
+                        numbers += found
             if not spans:
                 continue
-            h = words.hashes(all_words)
-            exact, template = _signed(window_hashes(h[:, 0])), _signed(window_hashes(h[:, 1]))
-            if wanted is None:
-                hit = np.arange(len(template))
-            else:
-                place = np.minimum(np.searchsorted(wanted, template), len(wanted) - 1)
-                hit = np.flatnonzero(wanted[place] == template) if len(wanted) else np.zeros(0, np.int64)
+            at = np.array(numbers)
+            exact, shown, typed, foreign, capital, goes_on = (c[at] for c in words.columns())
             begins = np.array([s[1] for s in spans])
-            which = np.searchsorted(begins, hit, side="right") - 1
-            rows = []
-            for k, s in zip(hit.tolist(), which.tolist()):
-                doc, _, end = spans[s]
-                if k + WINDOW <= end:  # within one part
-                    rows.append((doc, int(template[k]), int(exact[k]), slots_of(all_words[k : k + WINDOW], names)))
+            part = np.searchsorted(begins, np.arange(len(at)), side="right") - 1
+            within = np.concatenate([[False], goes_on[:-1]])
+            within[begins] = False
+            own = typed | foreign
+            kept = np.array([bool(w) for w in words.words])[at]  # tokens of punctuation only are no words
+            at, exact, shown, part = at[kept], exact[kept], shown[kept], part[kept]
+            masks = [m[kept] for m in (typed, own, own | capital & within)]
+            whole = part[: max(len(part) - WINDOW + 1, 0)] == part[WINDOW - 1 :]  # within one part
+            exact, seen, rows = _signed(window_hashes(exact)), [], []
+            for mask in masks:
+                template = _signed(window_hashes(np.where(mask & ~masks[0], _NAME, shown)))
+                hit = whole.copy()
+                for other in seen:
+                    hit &= template != other
+                seen.append(template)
+                if wanted is not None:
+                    place = np.minimum(np.searchsorted(wanted, template), len(wanted) - 1)
+                    hit = hit & (wanted[place] == template) if len(wanted) else np.zeros(len(template), bool)
+                for k in np.flatnonzero(hit).tolist():
+                    slots = [words.words[i] for i in at[k : k + WINDOW][mask[k : k + WINDOW]].tolist()]
+                    rows.append((spans[part[k]][0], int(template[k]), int(exact[k]), slots))
             yield _batch(rows)
 
     return documents.select("doc_id", "text").mapInArrow(run, _WINDOWS)
@@ -174,7 +228,8 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     wanted = np.unique(np.array([m[1] for m in made], np.int64)) if len(made) <= PREFILTER_WINDOWS else None
     right = spark.createDataFrame(made, "item_id bigint, template bigint, item_exact bigint, item_slots array<string>")
     right = bounded_broadcast(right, len(made), 64 + 12 * 16)
-    hit = corpus_windows(documents, names, wanted).join(right, "template")
+    ordinary = frozenset(w for _, t in rows for w in words_of(item_text(t))) - names
+    hit = corpus_windows(documents, names, wanted, ordinary).join(right, "template")
     same = F.col("exact") == F.col("item_exact")
     pairs = F.arrays_zip("slots", "item_slots")
     renamed = (F.size(F.array_distinct(pairs)) == F.size(F.array_distinct("slots"))) & (F.size(F.array_distinct(pairs)) == F.size(F.array_distinct("item_slots")))

@@ -272,6 +272,17 @@ def test_leaks(spark):
     assert full.count() > leakage.corpus_windows(mails(spark, rows), frozenset(), full.toPandas()["template"].to_numpy()[:1]).count() >= 1
 
 
+def test_leak_with_names_of_no_item(spark):
+    passage = "In June the old mill near Oakford sold 4711 crates while Márten counted every rope twice and Delia watched the long road"
+    foreign = passage.replace("Oakford", "Brazoren").replace("Márten", "Élodie").replace("4711", "12")
+    items = spark.createDataFrame([(1, "Read it.\n" + passage + "\nWho watched?", "x")], ITEMS)
+    rows = [(1, foreign, "a"), (2, passage, "a"), (3, passage.replace("Oakford", "Road"), "a"), (4, passage.lower(), "a"), (5, passage.title(), "a"), (6, foreign.replace(" ", "\n> ").replace("mill", "well").replace("rope", "cord"), "a")]
+    got = {r.doc_id: (r.windows, r.verbatim, r.reparameterised) for r in leakage.leaks(mails(spark, rows), items).collect()}
+    n = len((passage + " Who watched?").split()) - 11
+    assert got[1] == (n - 2, 0, n - 2) and got[2] == (n - 2, n - 2, 0) and got[4] == got[5] == got[2] and 6 not in got
+    assert got[3][1] + got[3][2] == n - 2 and got[3][2] > 0
+
+
 # 9
 
 
