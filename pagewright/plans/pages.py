@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import detect, fingerprint, headers, markdown, rx, scoring
-from pagewright.operators import blocks
+from pagewright.operators import blocks, neardup
 from pagewright.plans.queries import register
 from pagewright.session import site_of, table
 
@@ -121,6 +121,11 @@ register("change_significance", lambda s, d: _versions(s, d).filter("old_id is n
          f"SELECT old_id, result_id AS new_id, {fingerprint.significance_sql('old', 'norm')} AS significance FROM {_VERSIONS} WHERE old_id IS NOT NULL")
 register("near_duplicate_score", lambda s, d: _versions(s, d).filter("old_id is not null").select("old_id", C("result_id").alias("new_id"), blocks.near_duplicate_score(C("old_content"), C("content")).alias("score")),
          f"SELECT old_id, result_id AS new_id, {blocks.near_duplicate_score_sql('old_content', 'content')} AS score FROM {_VERSIONS} WHERE old_id IS NOT NULL")
+_SETS = f"""(SELECT id, list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
+FROM (SELECT id, regexp_extract_all(norm, '[\\p{{L}}\\p{{Nd}}]+') AS w FROM (SELECT norm, min(result_id) AS id FROM (SELECT result_id, {blocks.normal_block_sql('content')} AS norm FROM extractions) GROUP BY norm)) WHERE len(w) > 0)"""
+register("near_dup_pairs", lambda s, d: neardup.near_duplicate_pairs(table(s, d, "extractions"), "result_id", "content"),
+         f"""SELECT a, b, shared, na + nb - shared AS total FROM (SELECT x.id AS a, y.id AS b, len(x.s) AS na, len(y.s) AS nb, len(list_intersect(x.s, y.s)) AS shared FROM {_SETS} x JOIN {_SETS} y ON x.id < y.id) WHERE 5 * shared >= 4 * (na + nb - shared)""")
+register("near_dup_classes", lambda s, d: neardup.near_duplicate_classes(table(s, d, "extractions"), "result_id", "content"))
 
 
 def _changed(s: SparkSession, d: str) -> DataFrame:
