@@ -300,17 +300,13 @@ def article(dom: Dom) -> dict:
     points: dict[int, float] = {}
     link_text = [0] * (len(dom.tag) + 1)
     all_text = [0] * (len(dom.tag) + 1)
+    linked_until = -1
     for i, tag in enumerate(dom.tag):
+        if tag == "a":
+            linked_until = max(linked_until, dom.last[i])
         n = len(dom.text[i].strip()) if tag is None else 0
         all_text[i + 1] = all_text[i] + n
-        link_text[i + 1] = link_text[i]
-    for i in dom.find_all("a"):
-        n = all_text[dom.last[i] + 1] - all_text[i]
-        link_text[i + 1] += n
-    total = 0
-    for i in range(len(dom.tag)):  # prefix sums of linked text
-        total += link_text[i + 1] - (link_text[i] if i else 0) if dom.tag[i] == "a" else 0
-        link_text[i + 1] = total
+        link_text[i + 1] = link_text[i] + (n if i <= linked_until else 0)
     skip = -1
     for i, tag in enumerate(dom.tag):
         if i <= skip or tag is None:

@@ -3,9 +3,11 @@
 Every value is parsed under each notation that fits it.  The values of a
 source are first reduced to counts per set of fitting notations; on these
 counts expectation-maximisation fits the source's mixture of notations, and
-the posterior picks the reading or marks the value as ambiguous.  The counts
-are few per source whatever the number of values, so no task holds a source's
-values.
+the posterior picks the reading or marks the value as ambiguous.  What is known
+of a source beforehand (its locale) weighs the likelihood of a notation; it
+bars none.  Each source also writes some texts that only look like a date, a
+component of its own in the mixture.  The counts are few per source whatever
+the number of values, so no task holds a source's values.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewright.session import site_of
+from pagewright.session import checkpoint, site_of
 
 # Month names of the languages read (English, German, French, Spanish).
 MONTHS = {
@@ -85,13 +87,13 @@ def readings(text: str | None) -> list[tuple[str, int, bool]]:
     """
     if text is None:
         return []
-    text = text.strip()
+    text = " ".join(text.split())
     if text.isascii() and text.isdigit():
         n = int(text)
         if len(text) <= 11:
             return [("unix_s", n * 1_000_000, True)]
         return [("unix_ms", n * 1000, True)] if len(text) <= 14 else []
-    if not text or not any(c.isdigit() for c in text) or len(text) > 100:
+    if not any(c.isdigit() for c in text):
         return []
     out = []
     for name, form in _FORMS:
@@ -154,32 +156,53 @@ def is_zone_udf(names: pd.Series) -> pd.Series:
     return names.map(known).astype(bool)
 
 
-def fit_mixtures(counts: DataFrame, rounds: int = 12, smoothing: float = 0.5, sure: float = 0.9) -> DataFrame:
-    """EM over (source, forms, n): the mixture of notations of each source and a verdict per set of notations.
+#: Likelihood of the notation that the locale speaks against, as a rule and as a hint, and of a text only looking like a date.
+RULE_WEIGHT, HINT_WEIGHT, STRAY_WEIGHT = 1e-12, 0.3, 1e-6
+STRAY = "none"
 
-    forms: the sorted notations that fit; n: how many values have this set.
-    Gives source, forms, form (null: ambiguous), posterior.  A source's group
-    has as many rows as it has distinct sets, which the notations bound.
+
+def em_verdicts(sets: list[list[str]], counts: list[int], against: list[str | None], weight: float, rounds: int, smoothing: float, sure: float) -> tuple[list, list]:
+    """The notation and its posterior for each set of fitting notations of one source.
+
+    against: the notation that the locale speaks against, whose likelihood is
+    ``weight``.  None where no notation is sure; STRAY where the text is rather
+    no date of this source.
     """
+    every = sorted({f for s in sets for f in s} | {STRAY})
+    mix = dict.fromkeys(every, 1.0 / len(every))
+
+    def joint(s: list[str], bad: str | None) -> dict[str, float]:
+        out = {f: mix[f] * (weight if f == bad else 1.0) for f in s}
+        out[STRAY] = mix[STRAY] * STRAY_WEIGHT
+        return out
+
+    for _ in range(rounds):
+        total = dict.fromkeys(every, smoothing)
+        for s, k, bad in zip(sets, counts, against):
+            of = joint(s, bad)
+            z = sum(of.values())
+            for f, x in of.items():
+                total[f] += k * x / z
+        z = sum(total.values())
+        mix = {f: t / z for f, t in total.items()}
+    best, share = [], []
+    for s, bad in zip(sets, against):
+        of = joint(s, bad)
+        f = max(of, key=lambda x: (of[x], x))
+        p = of[f] / sum(of.values())
+        best.append(f if p >= sure else None)
+        share.append(p)
+    return best, share
+
+
+def fit_mixtures(counts: DataFrame, rounds: int = 12, smoothing: float = 0.5, sure: float = 0.9, weight: float = RULE_WEIGHT) -> DataFrame:
+    """EM over (source, against, forms, n): the mixture of notations of each source and a verdict per set of notations.
 
-    def em(sets: list, n: list) -> tuple[list, list]:
-        every = sorted({f for s in sets for f in s})
-        weight = dict.fromkeys(every, 1.0 / max(1, len(every)))
-        for _ in range(rounds):
-            total = dict.fromkeys(every, smoothing)
-            for s, k in zip(sets, n):
-                z = sum(weight[f] for f in s)
-                for f in s:
-                    total[f] += k * weight[f] / z
-            z = sum(total.values())
-            weight = {f: t / z for f, t in total.items()}
-        best, share = [], []
-        for s in sets:
-            z = sum(weight[f] for f in s)
-            f = max(s, key=lambda x: (weight[x], x))
-            best.append(f if weight[f] / z >= sure else None)
-            share.append(weight[f] / z)
-        return best, share
+    forms: the sorted notations that fit; n: how many values have this set.
+    Gives source, against, forms, form (null: ambiguous), posterior.  A
+    source's group has as many rows as it has distinct sets, which the
+    notations bound.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         left = None  # the last source of a batch may go on in the next
@@ -194,36 +217,38 @@ def fit_mixtures(counts: DataFrame, rounds: int = 12, smoothing: float = 0.5, su
                 continue
             for source, part in whole.groupby("source", sort=False):
                 forms = [list(x) for x in part["forms"]]
-                best, share = em(forms, part["n"].tolist())
-                yield pd.DataFrame({"source": source, "forms": forms, "form": best, "posterior": share})
+                against = part["against"].tolist()
+                best, share = em_verdicts(forms, part["n"].tolist(), against, weight, rounds, smoothing, sure)
+                yield pd.DataFrame({"source": source, "against": against, "forms": forms, "form": best, "posterior": share})
 
     ordered = counts.repartition("source").sortWithinPartitions("source")
-    return ordered.mapInPandas(run, "source string, forms array<string>, form string, posterior double")
+    return ordered.mapInPandas(run, "source string, against string, forms array<string>, form string, posterior double")
 
 
-def resolve(values: DataFrame, rounds: int = 12, sure: float = 0.9) -> DataFrame:
+def resolve(values: DataFrame, rounds: int = 12, sure: float = 0.9, weight: float = RULE_WEIGHT, day_first: bool = True) -> DataFrame:
     """values: field, record_id, pos, raw, source, zone, locale (null: unknown) -> one row per value with a reading.
 
-    Slash dates: the locale decides where it is known to (month first for
-    en-US, else day first) -- a prior of 0 or 1 on these two notations; pass
-    the locale 'unknown' to let the source's mixture decide.  Adds form,
-    posterior, ambiguous and utc_micros (null where the value is ambiguous or
-    has no zone).  A null source is a source of its own.  Repeated rows stay.
+    Slash dates: a known locale speaks for the month first (en-US) or the day
+    first; ``weight`` is the likelihood of the other order, which the source's
+    own counts may outweigh unless it is very small.  An unknown locale speaks
+    for the day if ``day_first``, else for nothing, and the counts decide.
+    Adds form, posterior, ambiguous and utc_micros (null where the value is
+    ambiguous or has no zone).  A text that is rather no date of its source
+    gives no row.  A null source is a source of its own.  Repeated rows stay.
     """
-    read = values.select("field", "record_id", "pos", "raw", "source", "zone", "locale").withColumn("r", readings_udf("raw"))
-    first = F.coalesce(F.col("locale"), F.lit(""))
-    barred = F.when(first == "unknown", F.lit("")).when(first == "en-US", F.lit("slash_dmy")).otherwise(F.lit("slash_mdy"))
+    locale = F.coalesce("locale", F.lit("" if day_first else "unknown"))
+    against = F.when(locale == "en-US", "slash_dmy").when(locale == "unknown", "").otherwise("slash_mdy")
     read = (
-        read.withColumn("barred", barred)
-        .withColumn("r", F.expr("filter(r, x -> x.form <> barred)"))
+        values.select("field", "record_id", "pos", "raw", F.coalesce("source", F.lit("")).alias("source"), "zone", against.alias("against"), readings_udf("raw").alias("r"))
         .filter(F.size("r") > 0)
-        .withColumn("source", F.coalesce("source", F.lit("")))
         .withColumn("forms", F.array_sort(F.expr("transform(r, x -> x.form)")))
     )
-    counts = read.groupBy("source", "forms").agg(F.count(F.lit(1)).alias("n"))
-    verdicts = fit_mixtures(counts, rounds=rounds, sure=sure)
+    read = checkpoint(read)  # parsed once; the counts and the verdicts read the short result
+    counts = read.groupBy("source", "against", "forms").agg(F.count(F.lit(1)).alias("n"))
+    verdicts = fit_mixtures(counts, rounds=rounds, sure=sure, weight=weight)
     picked = F.expr("filter(r, x -> x.form = form)")[0]
-    out = read.join(verdicts, ["source", "forms"]).withColumn("pick", F.when(F.col("form").isNotNull(), picked))
+    out = read.join(verdicts, ["source", "against", "forms"]).filter((F.col("form") != STRAY) | F.col("form").isNull())
+    out = out.withColumn("pick", F.when(F.col("form").isNotNull(), picked))
     local = F.to_utc_timestamp(F.timestamp_micros("pick.micros"), F.col("zone"))
     return out.select(
         "field", "record_id", "pos", "raw", "source", "form", "posterior",
@@ -254,9 +279,9 @@ def collected_values(ldjson: DataFrame, extractions: DataFrame, pages: DataFrame
     return blocks.unionByName(modified)
 
 
-def normalised_times(ldjson: DataFrame, extractions: DataFrame, pages: DataFrame, domain_cfg: DataFrame) -> DataFrame:
+def normalised_times(ldjson: DataFrame, extractions: DataFrame, pages: DataFrame, domain_cfg: DataFrame, weight: float = RULE_WEIGHT, day_first: bool = True) -> DataFrame:
     """Every readable time value with its notation, posterior and UTC instant."""
-    return resolve(collected_values(ldjson, extractions, pages, domain_cfg))
+    return resolve(collected_values(ldjson, extractions, pages, domain_cfg), weight=weight, day_first=day_first)
 
 
 def utc_text(micros: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.operators import nested, timestamps
+from pagewright.plans import times_sql
 from pagewright.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,9 +39,10 @@ register("p4_found", lambda s, d: nested.tree_links(table(s, d, "snapshots")), _
 register("p4_nodes", lambda s, d: nested.tree_nodes(table(s, d, "snapshots")))
 
 
-def _times(s: SparkSession, d: str) -> DataFrame:
-    return timestamps.normalised_times(table(s, d, "ldjson_blocks"), table(s, d, "extractions"), table(s, d, "page_in"), table(s, d, "domain_cfg"))
+def _times(s: SparkSession, d: str, **how) -> DataFrame:
+    return timestamps.normalised_times(table(s, d, "ldjson_blocks"), table(s, d, "extractions"), table(s, d, "page_in"), table(s, d, "domain_cfg"), **how)
 
 
-register("p7_found", lambda s, d: _times(s, d).filter("utc_micros is not null").select("field", "record_id", "pos", "utc_micros"))
-register("p7_times", lambda s, d: _times(s, d).withColumn("utc", timestamps.utc_text("utc_micros")).drop("utc_micros"))
+register("p7_found", lambda s, d: _times(s, d).filter("utc_micros is not null").select("field", "record_id", "pos", "utc_micros"), times_sql.FOUND)
+#: Here the locale is a hint only, and without one the source's counts decide.
+register("p7_times", lambda s, d: _times(s, d, weight=timestamps.HINT_WEIGHT, day_first=False).withColumn("utc", timestamps.utc_text("utc_micros")).drop("utc_micros"))

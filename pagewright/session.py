@@ -32,12 +32,20 @@ def local_session(app: str = "pagewright", cpus: str | int | None = None) -> Spa
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in ``spark.checkpoint.dir``; set one only where none is set (tests)."""
+    """Use the folder named in ``spark.checkpoint.dir``; a folder of our own only on one machine.
+
+    On a cluster the folder must be one that all machines share, so without
+    the setting this fails.
+    """
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="pagewright-checkpoint-"))
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="pagewright-checkpoint-")
+    spark.sparkContext.setCheckpointDir(named)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

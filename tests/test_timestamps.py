@@ -40,13 +40,39 @@ def test_resolve(spark):
     assert ts.resolve(df.limit(0)).count() == 0
 
 
+_VALUES = "field string, record_id bigint, pos bigint, raw string, source string, zone string, locale string"
+
+
+def _value(i, raw, source, locale=None):
+    return ("datePublished", i, 0, raw, source, "UTC", locale)
+
+
 def test_mixture_decides_where_the_locale_is_unknown(spark):
-    clear = [("x", i, 0, f"{d}/04/2025", "s", "UTC", "unknown") for i, d in enumerate(range(13, 29))]
-    rows = clear + [("x", 99, 0, "05/06/2025", "s", "UTC", "unknown"), ("x", 100, 0, "05/06/2025", "t", "UTC", "unknown")]
-    df = spark.createDataFrame(rows, "field string, record_id bigint, pos bigint, raw string, source string, zone string, locale string")
-    got = {r.record_id: r for r in ts.resolve(df).collect()}
-    assert got[99].form == "slash_dmy" and not got[99].ambiguous
+    clear = [_value(i, f"{d}/04/2025", "s") for i, d in enumerate(range(13, 29))]
+    months_first = [_value(200 + i, f"04/{d}/2025", "u") for i, d in enumerate(range(13, 29))]
+    rows = clear + months_first + [_value(99, "05/06/2025", "s"), _value(98, "05/06/2025", "u"), _value(100, "05/06/2025", "t")]
+    df = spark.createDataFrame(rows, _VALUES)
+    got = {r.record_id: r for r in ts.resolve(df, day_first=False).collect()}
+    assert got[99].form == "slash_dmy" and got[98].form == "slash_mdy" and not got[99].ambiguous
     assert got[100].ambiguous and got[100].utc_micros is None
+    without = {r.record_id: r for r in ts.resolve(df, rounds=0, day_first=False).collect()}  # the method switched off
+    assert without[99].ambiguous and without[98].ambiguous
+    ruled = {r.record_id: r.form for r in ts.resolve(df).collect()}
+    assert ruled[100] == "slash_dmy" and ruled[98] == "slash_dmy"
+
+
+def test_locale_is_a_hint_that_counts_outweigh(spark):
+    rows = [_value(i, f"{d}/04/2025", "s", "en-US") for i, d in enumerate(range(13, 29))] + [_value(99, "05/06/2025", "s", "en-US"), _value(98, "05/06/2025", "t", "en-US")]
+    df = spark.createDataFrame(rows, _VALUES)
+    hint = {r.record_id: r.form for r in ts.resolve(df, weight=ts.HINT_WEIGHT, sure=0.8, day_first=False).collect()}
+    assert hint[99] == "slash_dmy" and hint[1] == "slash_dmy"
+    rule = {r.record_id: r.form for r in ts.resolve(df).collect()}
+    assert rule == {99: "slash_mdy", 98: "slash_mdy"}  # 13/04 is no date where the month comes first
+
+
+@pytest.mark.parametrize("gap", [1, 60, 100, 101, 400])
+def test_long_texts_are_read(gap):
+    assert [m for _, m, _ in ts.readings("2024-01-01" + " " * gap + "00:00:00 UTC (" + "x" * gap + ")")] == [1704067200000000]
 
 
 def test_tables_with_nulls_and_copies(spark):

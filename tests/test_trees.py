@@ -81,3 +81,12 @@ def test_retry_log(spark):
     df = spark.createDataFrame(rows, "req_id bigint, attempt bigint, status int, error string, retry_after_s double")
     got = sorted((r.req_id, r.attempt, r.event) for r in fetching.retry_log(df, 3, 10.0, 2.5).collect())
     assert got == [(1, 0, "retrying"), (1, 1, "success"), (2, 0, "retrying"), (2, 1, "exhausted"), (3, 0, "retrying"), (3, 1, "timeout")]
+
+
+def test_linked_paragraphs_are_no_article():
+    linked = "".join(f'<p><a href="/{i}">A linked line that says very little about item {i}, again</a></p>' for i in range(12))
+    plain = "".join(f"<p>This is a plain paragraph with some running text, number {i}, and a comma</p>" for i in range(4))
+    dom = htmltree.parse(f'<body><div id="x">{linked}</div><div id="y">{plain}</div></body>')
+    assert dom.attr(domops.article(dom)["node"], "id") == "y"
+    only = htmltree.parse(f'<body><div id="x">{linked}</div></body>')
+    assert only.tag[domops.article(only)["node"]] == "body"  # density 1 scores nothing
