@@ -25,8 +25,9 @@ def queries() -> dict[str, Query]:
         "p2_reasons": _on(residue.judged_records, "extractions"),
         "p2_clean": lambda s, d: residue.without_residue(table(s, d, "extractions").select("result_id", "page_id", "loaded_at", "content")),
         "p3_found": _on(repetition.repetitive_records, "extractions"),
-        "p3_shares": lambda s, d: repetition.score_repetition(table(s, d, "extractions")).select("result_id", "words", "repeated", F.round("repeated_share", 6).alias("repeated_share")),
-        "p5_found": lambda s, d: markup.structure(table(s, d, "extractions")).select("result_id", "kind", "seq"),
+        "p3_shares": lambda s, d: repetition.score_repetition(table(s, d, "extractions"), exact_for_all=True).select("result_id", "words", "repeated", F.round("repeated_share", 6).alias("repeated_share")),
+        "p3_pruning": _on(repetition.pruning, "extractions"),
+        "p5_found": _on(markup.marked_elements, "extractions"),
         "p5_text": _on(markup.clean_text, "extractions"),
         "p6_found": lambda s, d: sitelines.repeated_lines(table(s, d, "extractions")).select("site", "line"),
         "p6_sequences": _on(sitelines.repeated_sequences, "extractions"),

@@ -30,7 +30,7 @@ ODD = [(1, PROSE), (1, PROSE), (2, None), (3, ""), (None, "___\n\n—\n​"), (4
 
 ALL = {
     "p1_found": lambda s, df: boilerplate.found_lines(df, pages(s)), "p1_content": lambda s, df: boilerplate.main_content(df, pages(s)), "p2": lambda s, df: residue.judged_records(df), "p2_clean": lambda s, df: residue.without_residue(df),
-    "p3": lambda s, df: repetition.score_repetition(df), "p5": lambda s, df: markup.structure(df), "p5_text": lambda s, df: markup.clean_text(df), "p6": lambda s, df: sitelines.repeated_lines(df),
+    "p3": lambda s, df: repetition.repetitive_records(df), "p3_pruning": lambda s, df: repetition.pruning(df).filter("records > 0"), "p5": lambda s, df: markup.marked_elements(df), "p5_text": lambda s, df: markup.clean_text(df), "p6": lambda s, df: sitelines.repeated_lines(df),
     "p6_sequences": lambda s, df: sitelines.repeated_sequences(df), "p6_content": lambda s, df: sitelines.without_repeated_lines(df),
 }
 
@@ -166,7 +166,7 @@ def brute_share(text):
 def test_repetition(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice("a b c d 12 e_f Ü".split()) for _ in range(rng.randint(0, 40)))) for i in range(200)] + [(900, "a b c d a b c"), (901, " ".join(map(str, range(9))))]
-    got = {r.result_id: (r.words, r.repeated) for r in repetition.score_repetition(records(spark, rows + rows)).collect()}
+    got = {r.result_id: (r.words, r.repeated) for r in repetition.score_repetition(records(spark, rows + rows), exact_for_all=True).collect()}
     assert got == {i: brute_share(t) for i, t in rows}
     found = {r.result_id for r in repetition.repetitive_records(records(spark, rows)).collect()}
     assert found == {i for i, t in rows if (b := brute_share(t))[0] >= 8 and b[1] >= 0.3 * b[0]}
@@ -174,7 +174,39 @@ def test_repetition(spark):
 
 def test_many_words_take_the_other_way():
     text = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(40_000))
-    assert repetition.profile(text + " " + text[:23])[:2] == (40_004, 4)
+    assert repetition.exact_share(repetition.words_of(text + " " + text[:23])) == (40_004, 4)
+
+
+def noted(spark, rows):
+    """Records noted as clean, so that they may be trusted."""
+    return spark.createDataFrame([(i, i, t, (0,), (True,)) for i, t in rows], "result_id bigint, page_id bigint, content string, dedupe struct<duplicatesFound: int>, validation struct<isValid: boolean>")
+
+
+def test_ratio_prunes_and_loses_none(spark):
+    rng = random.Random(3)
+    vocabulary = [f"{a}{b}" for a in "bcdfghklm" for b in ("ando", "erin", "ulat", "oxel", "ymar")]
+    rows = []
+    for i in range(300):
+        text = " ".join(rng.choice(vocabulary) for _ in range(rng.randint(20, 120)))
+        rows.append((i, " ".join([text] * rng.randint(2, 4)) if i % 10 == 0 else text))
+    df = noted(spark, rows)
+    r = repetition.pruning(df).first()
+    assert r.records == 300 and r.found >= 30 and r.lost == 0 and r.read < 100
+    blind = repetition.fit_ratios(*[repetition.np.ones(2 * repetition.CELLS, int)] * 2)  # equal multinomials tell nothing apart
+    assert all(blind.cut(0.3) >= blind.llr[c].mean() for c in ([0], [repetition.CELLS]))
+
+
+@pytest.mark.parametrize("share", [0.05, 0.3, 0.9])
+def test_cut_is_safe_for_any_counts(share):
+    np = repetition.np
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        raw = rng.integers(0, 50, 2 * repetition.CELLS)
+        fit = repetition.fit_ratios(rng.binomial(raw, rng.random()), raw)
+        again = rng.integers(1, 40)
+        new = rng.integers(0, int(again / (share / 4)) - again + 1)
+        cells = np.concatenate([rng.integers(0, repetition.CELLS, new), repetition.CELLS + rng.integers(0, repetition.CELLS, again)])
+        assert fit.llr[cells].mean() <= fit.cut(share)
 
 
 # 5
@@ -204,14 +236,30 @@ def test_style_tree_cuts_what_every_page_repeats(spark):
     df = records(spark, rows)
     text = {r.result_id: r.content for r in markup.clean_text(df).collect()}
     assert all("Our shops" not in t and "Topic" in t for t in text.values())
-    assert markup.structure(df).count() == 24
+    assert markup.marked_elements(df).count() == 24
+
+
+def test_a_branch_falls_with_its_root(spark):
+    """The promo's one changing item goes with its branch; switched off (no floor) nothing goes."""
+    promo = "<aside class=promo><ul>" + "".join(f"<li>shop {k}" for k in range(30)) + "<li>offer {0}</ul></aside>"
+    rows = [(i, f"<h2>Topic {i}</h2><ul><li>own {i} a $x_{i}$<li>own {i} b</ul>" + promo.format(i)) for i in range(12)]
+    df = records(spark, rows + rows[:2])
+    text = {r.result_id: r.content for r in markup.clean_text(df).collect()}
+    assert all(f"- own {i} b" in text[i] and "shop" not in text[i] and "offer" not in text[i] and f"$x_{i}$" in text[i] for i, _ in rows)
+    kept = markup.clean_text(df, min_importance=0.0).collect()
+    assert all(r.content.count("- ") == 33 for r in kept)  # recall: every element is there
+
+
+def test_tree_of_a_record():
+    nodes = markup.record_tree("<div class='a'><h2>T</h2><ul><li>x<li>y</ul></div>\n\\begin{itemize}\n\\item z\n\\end{itemize}")
+    assert [n.path for n in nodes] == ["page", "page/div", "page/div/section2", "page/div/section2/h2", "page/div/section2/ul", "page/div/section2/ul/li", "page/div/section2/ul/li", "page/itemize", "page/itemize/item"]
+    assert nodes[1].shown == "class=a" and nodes[4].children == ["li", "li"] and len(markup.record_tree("plain")) == 1
 
 
 @pytest.mark.parametrize("copies", [6, 22])
 def test_what_stands_on_every_page_is_reported(spark, copies):
     df = records(spark, [(i, "<h2>Our shops</h2><ul><li>x</li></ul>") for i in range(copies)])
-    got = markup.structure(df).collect()
-    assert len(got) == 2 * copies and {r.importance for r in got} == {0.0}
+    assert markup.marked_elements(df).count() == 2 * copies
 
 
 # 6
