@@ -1,16 +1,21 @@
 """Evaluation passages in a corpus: canonical templates, hash join of their windows, slot consistency.
 
-Every word is canonicalised by a rule that depends on the word alone: numbers,
-units and names (words the items write with a capital inside a sentence)
-become typed placeholders.  Windows of twelve canonical words are hashed and
-joined with those of the items.  The words behind the placeholders are the
-slots of a window: equal slots are a verbatim leak, a one-to-one renaming of
-slots is a re-parameterised one.  Since equal words have equal templates, no
-verbatim leak is missed.
+Every word is canonicalised by a rule that depends on the word alone: numbers
+(in figures or words), units and names (words the items write with a capital
+inside a sentence) become typed placeholders.  Windows of twelve canonical
+words are hashed and joined with those of the items.  The words behind the
+placeholders are the slots of a window: equal slots are a verbatim leak, a
+one-to-one renaming of slots is a re-parameterised one if it holds in all
+windows of the same passage, that is along one alignment of document and item.
+Since equal words have equal templates, no verbatim leak is missed.
 
 A corpus window has up to two more templates, for names that no item uses:
 in one, capitalised words that the items never write are names as well, in
 the other also those with a capital inside a sentence.
+
+The readers hold a Bloom filter of the items' templates, of a fixed size
+whatever the number of items, so that only matching windows leave them; the
+join of what is left is by hash and exact.
 """
 
 from __future__ import annotations
@@ -25,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.mail import readable
-from pagewright.session import bounded_broadcast
+from pagewright.session import checkpoint
 
 WINDOW = 12
-#: Up to so many item windows are also given to the readers, so that only matching corpus windows leave them (8 bytes each).
-PREFILTER_WINDOWS = 2_000_000
+#: Bits of the Bloom filter of item windows (16 MB), and the bits that each window sets.
+FILTER_BITS, FILTER_HASHES = 1 << 27, 4
 #: Tokens of the readers' memory are forgotten between batches beyond this.
 KNOWN_TOKENS = 500_000
 # Units of measurement and time.
@@ -38,6 +43,11 @@ UNITS = frozenset(
     "mile miles foot feet inch inches yard yards pound pounds ounce ounces second seconds minute minutes hour hours day days week weeks month months year years "
     "euro euros dollar dollars cent cents degree degrees watt watts volt volts".split()
 )
+# Numbers in words.
+NUMBERS = frozenset(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half".split()
+)
 _PUNCT = re.compile(r"[^\w\s]|_")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -75,7 +85,7 @@ def names_in(text: str) -> set[str]:
 
 
 def canonical(word: str, names: frozenset[str]) -> str:
-    if word[0].isdigit() or word.isnumeric():
+    if word[0].isdigit() or word.isnumeric() or word in NUMBERS:
         return "\x01number"
     if word in UNITS:
         return "\x01unit"
@@ -142,43 +152,101 @@ def _signed(a: np.ndarray) -> np.ndarray:
     return a.astype(np.int64)
 
 
-def item_windows(rows: list[tuple], names: frozenset[str]) -> list[tuple]:
-    """(item_id, template, exact, slots) of every window of every item."""
-    out = []
-    for item, text in rows:
-        ws = words_of(item_text(text))
-        exact, template = (_signed(window_hashes(np.array([_hash(w) for w in x], np.uint64))) for x in (ws, [canonical(w, names) for w in ws]))
-        out += [(item, int(t), int(e), slots_of(ws[k : k + WINDOW], names)) for k, (t, e) in enumerate(zip(template, exact))]
-    return out
+_WINDOWS = "id bigint, part bigint, pos bigint, template bigint, exact bigint, slots array<string>"
+_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()))
 
 
-_WINDOWS = "id bigint, template bigint, exact bigint, slots array<string>"
-_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()))
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [[]] * len(_TYPES)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _TYPES)], names=[x.split()[0] for x in _WINDOWS.split(", ")])
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, _TYPES)], names=["id", "template", "exact", "slots"])
+def item_words(items: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
+    """The items' names and their other words: each a set of distinct words, which grows far more slowly than the items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: set[str] = set()
+        words: set[str] = set()
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                names |= names_in(item_text(text))
+                words.update(words_of(item_text(text)))
+        every = sorted(names | words)
+        yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([w in names for w in every], pa.bool_())], names=["word", "name"])
+
+    got = items.select("text").mapInArrow(run, "word string, name boolean").groupBy("word").agg(F.max("name").alias("name")).collect()
+    return frozenset(r.word for r in got if r.name), frozenset(r.word for r in got if not r.name)
+
+
+def item_windows(items: DataFrame, names: frozenset[str]) -> DataFrame:
+    """id, part (0), pos, template, exact, slots of every window of every item, each item once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                ws = words_of(item_text(text))
+                exact, template = (_signed(window_hashes(np.array([_hash(w) for w in x], np.uint64))) for x in (ws, [canonical(w, names) for w in ws]))
+                rows += [(item, 0, k, int(t), int(e), slots_of(ws[k : k + WINDOW], names)) for k, (t, e) in enumerate(zip(template, exact))]
+            yield _batch(rows)
+
+    return items.select("item_id", "text").filter(F.col("text").isNotNull()).dropDuplicates(["item_id"]).mapInArrow(run, _WINDOWS)
+
+
+def _bits(template: np.ndarray, size: int) -> np.ndarray:
+    """Places in the filter, one row for each of its hashes."""
+    x = template.astype(np.uint64)
+    width = np.uint64(64 - (size - 1).bit_length())
+    with np.errstate(over="ignore"):
+        return np.stack([((x ^ np.uint64(k * 0x632BE59BD9B4E019 & (1 << 64) - 1)) * _MULT) >> width for k in range(FILTER_HASHES)])
+
+
+def template_filter(windows: DataFrame, size: int = FILTER_BITS) -> np.ndarray:
+    """The filter of the windows' templates.  It is built on the executors word by word; at most size / 64 words are sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(_bits(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), size))
+            words, first = np.unique(at >> np.uint64(6), return_index=True)
+            bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), first) if len(at) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(bits.astype(np.int64))], names=["word", "bits"])
+
+    out = np.zeros(size // 64, np.uint64)
+    got = windows.select("template").mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out[got["word"].to_numpy()] = got["bits"].to_numpy().astype(np.uint64)
+    return out
+
+
+def passes(bloom: np.ndarray, template: np.ndarray) -> np.ndarray:
+    """Whether each template may be an item's."""
+    hit = np.ones(len(template), bool)
+    for at in _bits(template, len(bloom) * 64):
+        hit &= (bloom[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return hit
 
 
-def corpus_windows(documents: DataFrame, names: frozenset[str], wanted: np.ndarray | None, ordinary: frozenset[str] = frozenset()) -> DataFrame:
-    """id, template, exact, slots of the corpus windows, once for each different template; only wanted templates unless that is None.
+def corpus_windows(documents: DataFrame, names: frozenset[str], bloom: np.ndarray, ordinary: frozenset[str] = frozenset()) -> DataFrame:
+    """id, part, pos, template, exact, slots of the corpus windows that pass the filter, once for each different template.
 
     ordinary are the items' words that are no names.
     """
+    words_set = np.flatnonzero(bloom)
+    packed = (words_set, bloom[words_set], len(bloom))  # sent to the readers without its zeros
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_filter = np.zeros(packed[2], np.uint64)
+        own_filter[packed[0]] = packed[1]
         words = Words(names, ordinary)
         for b in batches:
             if len(words.words) > KNOWN_TOKENS:
                 words.clear()
             numbers: list[int] = []
-            spans: list[tuple[int, int]] = []
+            spans: list[tuple[int, int, int]] = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for part in readable(text):
+                for nth, part in enumerate(readable(text)):
                     found = words.numbers(part)
                     if len(found) >= WINDOW:
-                        spans.append((doc, len(numbers)))
+                        spans.append((doc, len(numbers), nth))
                         numbers += found
             if not spans:
                 continue
@@ -200,41 +268,39 @@ def corpus_windows(documents: DataFrame, names: frozenset[str], wanted: np.ndarr
                 for other in seen:
                     hit &= template != other
                 seen.append(template)
-                if wanted is not None:
-                    place = np.minimum(np.searchsorted(wanted, template), len(wanted) - 1)
-                    hit = hit & (wanted[place] == template) if len(wanted) else np.zeros(len(template), bool)
+                hit &= passes(own_filter, template)
                 for k in np.flatnonzero(hit).tolist():
                     slots = [words.words[i] for i in at[k : k + WINDOW][mask[k : k + WINDOW]].tolist()]
-                    rows.append((spans[part[k]][0], int(template[k]), int(exact[k]), slots))
+                    doc, _, nth = spans[part[k]]
+                    rows.append((doc, nth, k, int(template[k]), int(exact[k]), slots))
             yield _batch(rows)
 
     return documents.select("doc_id", "text").mapInArrow(run, _WINDOWS)
 
 
-def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, item_id, windows, verbatim, reparameterised: documents with a window of an item.
 
     verbatim and reparameterised count the shared windows with equal slots and
-    with slots renamed one to one; windows with other slots do not count.
-    Items of fewer than twelve words have no window; null texts have none.
-    The items are a small held-out set and are read on the driver; beyond
-    PREFILTER_WINDOWS their windows are no longer sent to the readers and the
-    join runs over all corpus windows.
+    with slots renamed one to one; windows with other slots, and those of a
+    passage whose windows contradict each other's renaming, do not count as
+    renamed.  Items of fewer than twelve words have no window; null texts have
+    none.  Every place of a document counts.
     """
-    rows = [(r.item_id, r.text) for r in items.select("item_id", "text").dropDuplicates(["item_id"]).filter(F.col("text").isNotNull()).collect()]
-    names = frozenset().union(*[names_in(item_text(t)) for _, t in rows]) if rows else frozenset()
-    made = item_windows(rows, names)
-    spark = documents.sparkSession
-    wanted = np.unique(np.array([m[1] for m in made], np.int64)) if len(made) <= PREFILTER_WINDOWS else None
-    right = spark.createDataFrame(made, "item_id bigint, template bigint, item_exact bigint, item_slots array<string>")
-    right = bounded_broadcast(right, len(made), 64 + 12 * 16)
-    ordinary = frozenset(w for _, t in rows for w in words_of(item_text(t))) - names
-    hit = corpus_windows(documents, names, wanted, ordinary).join(right, "template")
+    names, ordinary = item_words(items)
+    right = checkpoint(item_windows(items, names))
+    bloom = template_filter(right, filter_bits)
+    left = corpus_windows(documents, names, bloom, ordinary).select(F.col("id").alias("doc_id"), "part", "pos", "template", "exact", "slots")
+    right = right.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "template", F.col("exact").alias("item_exact"), F.col("slots").alias("item_slots"))
+    hit = left.join(right, "template")
     same = F.col("exact") == F.col("item_exact")
     pairs = F.arrays_zip("slots", "item_slots")
-    renamed = (F.size(F.array_distinct(pairs)) == F.size(F.array_distinct("slots"))) & (F.size(F.array_distinct(pairs)) == F.size(F.array_distinct("item_slots")))
-    hit = hit.select(F.col("id").alias("doc_id"), "item_id", same.alias("same"), (~same & renamed).alias("renamed"))
-    out = hit.groupBy("doc_id", "item_id").agg(F.count_if("same").alias("verbatim"), F.count_if("renamed").alias("reparameterised"))
+    hit = hit.select("doc_id", "item_id", "part", (F.col("pos") - F.col("item_pos")).alias("shift"), same.alias("same"), F.when(~same, pairs).alias("pairs"))
+    # A passage has as many windows as it has words, so its pairs are few.
+    passage = hit.groupBy("doc_id", "item_id", "part", "shift").agg(F.count_if("same").alias("verbatim"), F.count_if(~F.col("same")).alias("other"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    size = lambda c: F.size(F.array_distinct(c))
+    renamed = (F.size("pairs") == size("pairs.slots")) & (F.size("pairs") == size("pairs.item_slots"))
+    out = passage.groupBy("doc_id", "item_id").agg(F.sum("verbatim").alias("verbatim"), F.sum(F.when(renamed, F.col("other")).otherwise(0)).alias("reparameterised"))
     return out.filter("verbatim + reparameterised > 0").select("doc_id", "item_id", (F.col("verbatim") + F.col("reparameterised")).alias("windows"), "verbatim", "reparameterised")
 
 

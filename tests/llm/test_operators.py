@@ -316,8 +316,39 @@ def test_leaks(spark):
     got = {(r.doc_id, r.item_id): (r.verbatim > 0, r.reparameterised > 0) for r in leakage.leaks(mails(spark, rows), items).collect()}
     assert got[(1, 1)][0] and got[(5, 1)][0] and (3, 1) not in {k for k, v in got.items() if v[0]} and not got.get((2, 1), (False,))[0]
     assert got[(2, 1)][1]
-    full = leakage.corpus_windows(mails(spark, rows), frozenset(), None)
-    assert full.count() > leakage.corpus_windows(mails(spark, rows), frozenset(), full.toPandas()["template"].to_numpy()[:1]).count() >= 1
+
+
+@pytest.mark.parametrize("bits", [1 << 6, 1 << 12, 1 << 27])
+def test_filter_of_any_size_changes_no_row(spark, bits):
+    """A filter that is too small lets more windows pass; the join is exact."""
+    rng = random.Random(9)
+    words = [a + b for a in "bcdfgh" for b in ("an", "el", "or", "ist", "um")]
+    texts = [" ".join(rng.choice(words) for _ in range(40)) for _ in range(30)]
+    items = spark.createDataFrame([(i, "Read it.\n" + t, "x") for i, t in enumerate(texts[:10])], ITEMS)
+    rows = [(i, " ".join(rng.choice(words) for _ in range(5)) + " " + " ".join(t.split()[5 : 5 + n]), "a") for i, t in enumerate(texts) for n in [rng.choice([11, 12, 30])]]
+    grams = lambda t: {tuple(w[k : k + 12]) for w in [t.split()] for k in range(len(w) - 11)}
+    want = {(d, i) for d, t, _ in rows for i in range(10) if grams(t) & grams(texts[i])}
+    assert want and {(r.doc_id, r.item_id) for r in leakage.leaks(mails(spark, rows), items, filter_bits=bits).filter("verbatim > 0").collect()} == want
+
+
+def test_renamed_questions_are_found(spark):
+    """Recall of planted questions whose names, numbers (also in words) and units changed; a renaming must hold in the whole passage."""
+    rng = random.Random(11)
+    plain = "the old mill near this river sold crates while every rope was counted twice and slowly carried along that long road before dinner".split()
+    items, rows = [], []
+    for i in range(40):
+        ws = [rng.choice(plain) for _ in range(36)]
+        for k, slot in ((3, "Ann"), (9, "12"), (14, "litres"), (20, "Bo"), (25, "seven"), (31, "Ann")):
+            ws[k] = slot
+        items.append((i, "Read it.\n" + " ".join(ws), "x"))
+        new = {"Ann": rng.choice(["Zorblax", "Élodie", "Quim"]), "12": rng.choice(["twelve", "99", "forty"]), "litres": "miles", "Bo": rng.choice(["Tark", "Wim"]), "seven": rng.choice(["8", "eleven"])}
+        rows.append((i, " ".join(new.get(w, w) for w in ws), "a"))
+        torn = [new.get(w, w) for w in ws]
+        torn[31] = "Other"
+        rows.append((1000 + i, " ".join(torn), "a"))
+    got = {(r.doc_id, r.item_id): r.reparameterised for r in leakage.leaks(mails(spark, rows), spark.createDataFrame(items, ITEMS)).collect()}
+    assert sum((i, i) in got for i in range(40)) >= 36
+    assert not any(d >= 1000 for d, _ in got)
 
 
 def test_leak_with_names_of_no_item(spark):
