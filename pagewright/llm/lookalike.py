@@ -24,13 +24,24 @@ from pyspark.sql import functions as F
 
 from pagewright.session import checkpoint
 
-# Letters of the Greek and Cyrillic alphabets and the Latin letters of the same shape.
+# Letters of other alphabets and the Latin letters of the same shape, from the published confusables.
 LETTERS = {
+    # Greek
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
-    "ο": "o", "ν": "v", "ι": "ı", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ϳ": "J",
-    "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I",
+    "α": "a", "γ": "y", "ι": "ı", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "ϲ": "c", "ϳ": "j", "Ϲ": "C", "Ϳ": "J",
+    # Cyrillic
+    "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ү": "Y", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "Ӏ": "I",
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ѵ": "v", "ү": "y", "ӏ": "l",
-    "ɡ": "g", "ℓ": "l",
+    # Armenian
+    "Լ": "L", "Ո": "U", "Տ": "S", "Օ": "O", "ա": "w", "գ": "q", "զ": "q", "հ": "h", "ո": "n", "ռ": "n", "ս": "u", "ց": "g", "ք": "f", "օ": "o", "յ": "j",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭼ": "E", "Ꭺ": "A", "Ꭻ": "J", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    # Coptic
+    "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲭ": "X", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c",
+    # Small capitals and other Latin letters
+    "ᴄ": "c", "ɪ": "i", "ᴏ": "o", "ꜱ": "s", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ɡ": "g", "ɑ": "a", "ǀ": "l",
 }
 
 _SPACES_KEPT = "\n\r\t\x0b\f"
@@ -40,6 +51,15 @@ def _is_invisible(c: str) -> bool:
     return unicodedata.category(c) == "Cf" or c in "͏ᅟᅠ឴឵ㅤﾠ" or "︀" <= c <= "️" or "\U000e0100" <= c <= "\U000e01ef"
 
 
+def same_shape(c: str) -> str | None:
+    """The letters that a variant form shows, by rule: width and font variants and letters standing as Roman numerals."""
+    kind, _, to = unicodedata.decomposition(c).partition(" ")
+    shown = "".join(chr(int(x, 16)) for x in to.split())
+    if kind in ("<wide>", "<narrow>", "<font>"):
+        return shown
+    return shown if kind == "<compat>" and len(shown) == 1 and "ROMAN NUMERAL" in unicodedata.name(c, "") else None
+
+
 class Classes:
     """Union-find over strings."""
 
@@ -75,13 +95,13 @@ def classes_of(counts: dict[str, int]) -> dict[str, str]:
     for other, latin in LETTERS.items():
         sets.join(other, latin)
     for c in counts:
-        d = unicodedata.decomposition(c)
+        shown = same_shape(c)
         if _is_invisible(c):
             sets.join(c, "")
         elif unicodedata.category(c) == "Zs" and c not in _SPACES_KEPT:
             sets.join(c, " ")
-        elif d.startswith(("<wide>", "<narrow>")):
-            sets.join(c, "".join(chr(int(x, 16)) for x in d.split()[1:]))
+        elif shown:
+            sets.join(c, shown)
     # Strings: an accented letter, and every member of its base letter's class with the accent.
     singles = {x: m for m in sets.members().values() for x in m}
     accented = {c for c in counts if len(unicodedata.normalize("NFD", c)) > 1}
@@ -119,8 +139,15 @@ def automaton_of(rewrite: dict[str, str]):
 
 
 def consistent(text: str, auto) -> str:
-    """The consistent form of one text; invisible characters never part a letter from its accent."""
-    for _ in range(2):
+    """The consistent form of one text, a fixed point of the rewriting.
+
+    Each turn composes accents and rewrites; what a turn brings together (a
+    letter and its accent, parted by an invisible character) the next one
+    sees.  Every turn but the last shortens the text or brings it nearer to
+    representatives, so it ends.
+    """
+    while True:
+        before = text
         text = unicodedata.normalize("NFC", text)
         out, at = [], 0
         for end, (size, best) in auto.iter_long(text):
@@ -128,11 +155,11 @@ def consistent(text: str, auto) -> str:
             out.append(text[at:start])
             out.append(best)
             at = end + 1
-        if not at:
+        if at:
+            out.append(text[at:])
+            text = "".join(out)
+        if text == before:
             return text
-        out.append(text[at:])
-        text = "".join(out)
-    return text
 
 
 def character_counts(documents: DataFrame, text_col: str = "text") -> DataFrame:
@@ -193,14 +220,34 @@ def look_classes(documents: DataFrame) -> DataFrame:
     return keys.join(per, "look").select("doc_id", "class_id", "texts", "members")
 
 
+#: Parts into which the documents of one string are split when its pairs are listed.
+SALTS = 16
+
+
+def look_links(documents: DataFrame) -> DataFrame:
+    """look, exact_a, exact_b, a, b: pairs of different strings that look the same, with the smallest doc_id of each."""
+    return _links(checkpoint(look_keys(documents)))
+
+
+def _links(keys: DataFrame) -> DataFrame:
+    strings = keys.groupBy("look", "exact").agg(F.min("doc_id").alias("low"))
+    mixed = strings.groupBy("look").agg(F.min("exact").alias("lo"), F.max("exact").alias("hi")).filter("lo <> hi").select("look")
+    strings = strings.join(mixed, "look", "left_semi")
+    a, b = (strings.select("look", F.col("exact").alias(f"exact_{x}"), F.col("low").alias(x)) for x in "ab")
+    return a.join(b, "look").filter("exact_a < exact_b")
+
+
 def look_pairs(documents: DataFrame) -> DataFrame:
     """doc_id_a < doc_id_b: documents that look the same but are different strings.
 
-    Looks with one string only (all exact copies) drop out before the join.
+    Strings are paired first, each once; then the documents of both strings
+    take their places, split into SALTS parts, so that no string's documents
+    meet in one task.  Copies of one string are no pairs.
     """
     keys = checkpoint(look_keys(documents))
-    mixed = keys.groupBy("look").agg(F.min("exact").alias("lo"), F.max("exact").alias("hi")).filter("lo <> hi").select("look")
-    keys = keys.join(mixed, "look", "left_semi")
-    a, b = keys.alias("a"), keys.alias("b")
-    pairs = a.join(b, (F.col("a.look") == F.col("b.look")) & (F.col("a.exact") != F.col("b.exact")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-    return pairs.select(F.col("a.doc_id").alias("doc_id_a"), F.col("b.doc_id").alias("doc_id_b")).distinct()
+    links = _links(keys).select("exact_a", "exact_b")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
+    every = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))
+    a, b = (keys.select(F.col("exact").alias(f"exact_{x}"), F.col("doc_id").alias(f"id_{x}"), salt.alias("salt")) for x in "ab")
+    pairs = links.withColumn("salt", every).join(a, ["exact_a", "salt"]).select("exact_b", "id_a", every.alias("salt")).join(b, ["exact_b", "salt"])
+    return pairs.select(F.least("id_a", "id_b").alias("doc_id_a"), F.greatest("id_a", "id_b").alias("doc_id_b")).distinct()

@@ -37,6 +37,7 @@ def queries() -> dict[str, Query]:
         "p9_shares": _on(mixture.mixture_shares, "documents", "mix_targets"),
         "p9_mixture": _on(mixture.select_mixture, "documents", "mix_targets"),
         "p10_found": _on(lookalike.look_pairs, "documents"),
+        "p10_links": lambda s, d: lookalike.look_links(table(s, d, "documents")).select("a", "b"),
         "p10_classes": _on(lookalike.look_classes, "documents"),
         "p10_text": _on(lookalike.consistent_texts, "documents"),
     }
@@ -62,8 +63,9 @@ sizes AS (SELECT site, count(DISTINCT result_id) AS m FROM records GROUP BY site
 SELECT site, line FROM lines JOIN sizes USING (site) WHERE length(line) >= 10 GROUP BY site, line, m HAVING count(*) >= 5 AND count(*) * 10 >= m
 """
 
-_FROM = "".join(c for c in lookalike.LETTERS if c not in "ιℓӏ")
-_TO = "".join(lookalike.LETTERS[c] for c in _FROM)
+# The oracle's own table of letters, Greek and Cyrillic in the order of the Latin letters they look like.
+_FROM = "ΑВΒСϹЕΕНΗІΙӀЈКΚМΜΝОΟРΡԚЅТΤԜХΧУΥҮΖАаαсϲԁеһіјϳοоρрԛѕυνѵԝхуγү"
+_TO = "ABBCCEEHHIIIJKKMMNOOPPQSTTWXXYYYZAaaccdehijjooppqsuvvwxyyy"
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
 
@@ -76,9 +78,11 @@ _P10 = rf"""
 WITH seen AS (
   SELECT doc_id, text, translate(translate(regexp_replace(text, '[\x{{ad}}\x{{200b}}-\x{{200f}}\x{{202a}}-\x{{202e}}\x{{2060}}-\x{{2064}}\x{{feff}}]', '', 'g'), {_quoted(_WIDE)}, {_quoted(_NARROW)}),
     chr(160) || chr(8199) || chr(8201) || chr(8239) || chr(8194) || chr(8195) || chr(8200) || chr(8202) || chr(12288), '         ') AS x FROM documents WHERE text IS NOT NULL),
-looks AS (SELECT doc_id, text, nfc_normalize(translate(replace(replace(nfc_normalize(x), 'ё', 'ë'), 'Ё', 'Ë'), {_quoted(_FROM)}, {_quoted(_TO)})) AS look FROM seen)
-SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM looks a JOIN looks b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text
+looks AS (SELECT doc_id, text, nfc_normalize(translate(replace(replace(nfc_normalize(translate(x, {_quoted(_FROM)}, {_quoted(_TO)})), 'ё', 'ë'), 'Ё', 'Ë'), {_quoted(_FROM)}, {_quoted(_TO)})) AS look FROM seen)
 """
+_P10_FOUND = _P10 + "SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM looks a JOIN looks b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text"
+_P10_CLASSES = _P10 + """SELECT doc_id, min(doc_id) OVER (PARTITION BY look) AS class_id, m.texts, count(*) OVER (PARTITION BY look) AS members
+FROM looks JOIN (SELECT look, count(DISTINCT text) AS texts FROM looks GROUP BY 1) m USING (look)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -86,5 +90,6 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": f"WITH {_P3_WORDS} SELECT result_id FROM shares WHERE words >= 8 AND repeated >= 0.3 * words",
         "p3_shares": f"WITH {_P3_WORDS} SELECT result_id, words, repeated, round(CASE WHEN words >= 8 THEN repeated / words ELSE 0 END, 6) AS repeated_share FROM shares",
         "p6_found": _P6,
-        "p10_found": _P10,
+        "p10_found": _P10_FOUND,
+        "p10_classes": _P10_CLASSES,
     }

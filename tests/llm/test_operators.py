@@ -420,6 +420,22 @@ def test_look_alikes(spark):
     assert all(classes[a] == classes[b] for a, b in want) and len(classes) == len(rows)
 
 
+@pytest.mark.parametrize("look, other", [("o", "օ"), ("n", "ո"), ("A", "𝐀"), ("h", "ℎ"), ("s", "ꜱ"), ("w", "ᴡ"), ("W", "Ꮃ"), ("L", "ꓡ"), ("c", "ⲥ"), ("l", "ⅼ"), ("5", "𝟓"), ("é", "е\u0301"), ("ó", "ο\u200b\u0301")])
+def test_letters_of_other_alphabets(look, other):
+    rewrite = lookalike.classes_of(dict.fromkeys("plain " + look + unicodedata.normalize("NFD", other), 5))
+    auto = lookalike.automaton_of(rewrite)
+    assert lookalike.consistent(f"plain {look}", auto) == lookalike.consistent(f"plain {other}", auto)
+    assert lookalike.consistent("plain x", auto) != lookalike.consistent(f"plain {other}", auto)
+
+
+def test_a_hot_look(spark):
+    """Two spellings of a form letter in many copies: every pair is listed, links and classes stay small."""
+    rows = [(i, "Form letter" if i % 2 else "Form\u00a0letter", "s") for i in range(60)]
+    df = mails(spark, rows)
+    assert lookalike.look_pairs(df).count() == 900 and lookalike.look_links(df).count() == 1
+    assert {(r.class_id, r.texts, r.members) for r in lookalike.look_classes(df).collect()} == {(0, 2, 60)}
+
+
 def test_rewriting_is_stable(spark):
     rng = random.Random(9)
     signs = "aeoаеоｅ é́è̀ёÀＡΑА ​yу" + "iіjј"
