@@ -3,9 +3,13 @@
 A mail archived by several sources belongs to all of them.  Mails are
 aggregated by their set of sources; a flow sends the tokens of each set to its
 sources' quotas, where the k-th use of the same tokens costs k - 1, so that
-repetition is spread as thinly as possible.  Each set's mails are then laid on
-a seeded circle and every source takes its flow as an arc of it, so that the
-uses of any two mails of a set differ by one at most.
+repetition is spread as thinly as possible.  A mail that one source holds
+several times is as many records there.  Unless a total is given it is the
+largest for which every source with mails can be given its share within its
+repetitions; beyond it the shares would drift apart.  Each set's mails are
+then laid on a seeded circle and every source takes its flow as an arc of it,
+so that the uses of any two records of a set differ by one at most and what a
+source gets differs from its quota by about half a mail.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.session import checkpoint
@@ -101,7 +105,7 @@ def min_cost_flow(n: int, arcs: list[tuple[int, int, int, int]], source: int, si
 def route(patterns: list[tuple[tuple[str, ...], int]], targets: dict[str, tuple[float, int]], total: int) -> dict[tuple[int, str], int]:
     """Tokens that each source takes from each set of mails.
 
-    patterns: (sources, tokens of the set's mails once); targets: source ->
+    patterns: (sources, tokens of the set's records once); targets: source ->
     (share, most uses).  A source takes at most share * total.  Sets without a
     target source give nothing.
     """
@@ -124,32 +128,54 @@ def route(patterns: list[tuple[tuple[str, ...], int]], targets: dict[str, tuple[
     return {key: f for key, f in zip(flows, got) if key and f}
 
 
+def best_total(patterns: list[tuple[tuple[str, ...], int]], targets: dict[str, tuple[float, int]]) -> int:
+    """The largest total at which every source that has mails can reach its share.
+
+    A source takes what it needs from its own sets, each at most its uses
+    times over, and no other source takes that away; so the source with the
+    fewest tokens for its share decides.
+    """
+    room: dict[str, int] = {}
+    for members, tokens in patterns:
+        for s in members:
+            if s in targets:
+                room[s] = room.get(s, 0) + tokens * targets[s][1]
+    return min((int(r / targets[s][0]) for s, r in room.items() if r and targets[s][0] > 0), default=0)
+
+
 def plan_mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, tokenizer: str = TOKENIZER):
-    """(mails, sets, flows, total): the mails with their sets of sources, and the tokens each source takes from each set.
+    """(records, sets, flows, total): the mails with their sets of sources, and the tokens each source takes from each set.
 
-    Without total_tokens the total is the tokens of all mails of the target
-    sources, each mail once.  What reaches the driver is one row per set of
-    sources that occurs.
+    records: mail, doc_id, members, copies, tokens (of one copy).  The n-th
+    copies of a mail in its sources belong together.  What reaches the driver
+    is one row per set of sources that occurs; a source without mails takes no
+    part and the others' shares are of what they have together.
     """
     docs = checkpoint(token_sizes(documents, tokenizer))
     wanted = {r.source.strip().lower(): (r.target_share, max(1, r.max_repeats or 1)) for r in targets.filter(F.col("source").isNotNull() & F.col("target_share").isNotNull()).collect()}
-    known = docs.filter(F.col("source").isin(sorted(wanted)))
-    mails = known.groupBy("mail").agg(F.min("doc_id").alias("doc_id"), F.array_sort(F.collect_set("source")).alias("members"), F.min("tokens").alias("tokens"))
-    mails = checkpoint(mails.filter("tokens > 0"))
-    sets = [(tuple(r.members), r.t) for r in mails.groupBy("members").agg(F.sum("tokens").alias("t")).collect()]
+    known = docs.filter(F.col("source").isin(sorted(wanted)) & (F.col("tokens") > 0))
+    held = known.groupBy("mail", "source").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.min("tokens").alias("tokens"))
+    mails = held.groupBy("mail").agg(F.min("doc_id").alias("doc_id"), F.min("tokens").alias("tokens"), F.array_sort(F.collect_list(F.struct("source", "n"))).alias("held"))
+    # Copies 1..n_1 are in all sources, n_1+1..n_2 in those that hold more, and so on.
+    steps = F.array_sort(F.array_distinct("held.n"))
+    level = F.explode(F.transform(steps, lambda n, i: F.struct((n - F.when(i > 0, F.get(steps, i - 1)).otherwise(0)).alias("copies"), F.transform(F.filter("held", lambda h: h["n"] >= n), lambda h: h["source"]).alias("members"))))
+    records = checkpoint(mails.select("mail", "doc_id", "tokens", level.alias("level")).select("mail", "doc_id", "tokens", "level.copies", "level.members"))
+    sets = [(tuple(r.members), r.t) for r in records.groupBy("members").agg(F.sum(F.col("tokens") * F.col("copies")).alias("t")).collect()]
     sets.sort()
-    total = total_tokens if total_tokens is not None else sum(t for _, t in sets)
-    return mails, sets, route(sets, wanted, total), total
+    total = total_tokens if total_tokens is not None else best_total(sets, wanted)
+    return records, sets, route(sets, wanted, total), total
 
 
 def select_mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 0, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id, source, uses, tokens: the mixture; a mail counts ``uses`` times for the source.
+    """doc_id, source, copies, uses, tokens: the mixture; a mail counts ``uses`` times for the source.
 
-    A mail in several archives of a set stands for all its copies (smallest
-    doc_id).  Mails of unknown or null source take no part.  An empty table or
-    no targets give no rows.
+    A mail in several archives of a set, or several times in one, stands for
+    all its copies (smallest doc_id); uses / copies is at most max_repeats.
+    Every target source with mails and a share is used at least once.
+    Mails of unknown or null source and empty ones take no part.  An empty
+    table or no targets give no rows.
     """
-    mails, sets, flows, _ = plan_mixture(documents, targets, total_tokens, tokenizer)
+    records, sets, flows, _ = plan_mixture(documents, targets, total_tokens, tokenizer)
     spark = documents.sparkSession
     arcs = []
     start: dict[int, int] = {}
@@ -157,36 +183,52 @@ def select_mixture(documents: DataFrame, targets: DataFrame, total_tokens: int |
         a = start.get(p, 0)
         arcs.append((list(sets[p][0]), s, a, a + f, sets[p][1]))
         start[p] = a + f
-    arc = spark.createDataFrame(arcs, "members array<string>, source string, a bigint, b bigint, circle bigint")
-    return _on_circle(mails, seed).join(arc, "members").withColumn(
-        "uses", F.expr("floor((b - at - 1) / circle) - floor((a - at - 1) / circle)").cast("bigint")
-    ).filter("uses > 0").select("doc_id", "source", "uses", "tokens")
+    arc = spark.createDataFrame(arcs, "members array<string>, source string, a bigint, b bigint, circle bigint")  # a row per set and source
+    placed = _on_circle(records, seed).join(arc, "members")
 
+    def until(x: str) -> Column:
+        """Uses on the circle up to place x: a copy counts once its middle is passed."""
+        turn = F.expr(f"floor({x} / circle)")
+        rest = F.ceil((F.expr(f"{x} % circle") - F.col("at")) / F.col("tokens") - 0.5)
+        return turn * F.col("copies") + F.greatest(F.lit(0), F.least(rest, F.col("copies")))
 
-def _on_circle(mails: DataFrame, seed: int) -> DataFrame:
-    """Adds ``at``: the tokens before each mail in the seeded order of its set.
+    columns = ("doc_id", "source", "copies", "uses", "tokens")
+    chosen = checkpoint(placed.withColumn("uses", (until("b") - until("a")).cast("bigint")).filter("uses > 0").select(*columns))
+    # A source whose quota is less than half of the mail it met takes its shortest one.
+    left = arc.select("members", "source").join(chosen.select("source").distinct(), "source", "left_anti")
+    short = records.join(left, "members").groupBy("source").agg(F.min_by(F.struct("doc_id", "copies", "tokens"), F.struct("tokens", "doc_id")).alias("r"))
+    return chosen.unionByName(short.select("r.doc_id", "source", "r.copies", F.lit(1).cast("bigint").alias("uses"), "r.tokens"))
+
+
+def _on_circle(records: DataFrame, seed: int) -> DataFrame:
+    """Adds ``at``: the tokens before each mail's copies in the seeded order of its set.
 
     The order is by a hash; buckets of the hash keep every task's share of a
     set small, and the buckets' totals are summed in a small table.
     """
-    rows = mails.count()
-    buckets = max(1, rows // BUCKET_ROWS)
-    placed = mails.withColumn("h", F.xxhash64("mail", F.lit(seed))).withColumn("bucket", F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * buckets).cast("int"))
-    sums = placed.groupBy("members", "bucket").agg(F.sum("tokens").alias("t"))
+    buckets = max(1, records.count() // BUCKET_ROWS)
+    weight = F.col("tokens") * F.col("copies")
+    placed = records.withColumn("h", F.xxhash64("mail", F.lit(seed))).withColumn("bucket", F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * buckets).cast("int"))
+    sums = placed.groupBy("members", "bucket").agg(F.sum(weight).alias("t"))
     before = F.sum("t").over(Window.partitionBy("members").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select("members", "bucket", F.coalesce(before, F.lit(0)).alias("base"))
-    inside = F.sum("tokens").over(Window.partitionBy("members", "bucket").orderBy("h", "mail").rowsBetween(Window.unboundedPreceding, -1))
-    return placed.withColumn("inside", F.coalesce(inside, F.lit(0))).join(sums, ["members", "bucket"]).select("doc_id", "members", "tokens", (F.col("base") + F.col("inside")).alias("at"))
+    inside = F.sum(weight).over(Window.partitionBy("members", "bucket").orderBy("h", "mail", "copies").rowsBetween(Window.unboundedPreceding, -1))
+    placed = placed.withColumn("inside", F.coalesce(inside, F.lit(0))).join(sums, ["members", "bucket"])
+    return placed.select("doc_id", "members", "copies", "tokens", (F.col("base") + F.col("inside")).alias("at"))
 
 
 def mixture_shares(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 0, tokenizer: str = TOKENIZER) -> DataFrame:
-    """source, target_share, actual_share, tokens, quota, mails, most_uses of every target source."""
+    """source, target_share, max_repeats, actual_share, deviation, tokens, mails, most_uses of every target source.
+
+    most_uses: the most times that any record is used.
+    """
     chosen = select_mixture(documents, targets, total_tokens, seed, tokenizer)
-    per = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("tokens"), F.count(F.lit(1)).alias("mails"), F.max("uses").alias("most_uses"))
+    per = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("tokens"), F.count(F.lit(1)).alias("mails"), F.max(F.ceil(F.col("uses") / F.col("copies"))).alias("most_uses"))
     want = targets.filter(F.col("source").isNotNull() & F.col("target_share").isNotNull()).select(F.lower(F.trim("source")).alias("source"), "target_share", "max_repeats")
     out = want.join(per, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
     everything = Window.partitionBy(F.lit(1))  # one row per target source
+    actual = F.round(F.col("tokens") / F.greatest(F.sum("tokens").over(everything), F.lit(1)), 6)
     return out.select(
-        "source", "target_share", "max_repeats", F.round(F.col("tokens") / F.greatest(F.sum("tokens").over(everything), F.lit(1)), 6).alias("actual_share"),
+        "source", "target_share", "max_repeats", actual.alias("actual_share"), F.round(actual - F.col("target_share"), 6).alias("deviation"),
         "tokens", F.coalesce("mails", F.lit(0)).alias("mails"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"),
     )
