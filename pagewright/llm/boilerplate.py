@@ -2,11 +2,15 @@
 
 A page is a tree: page, zones (before, within and after the running text),
 blocks, lines.  Every node is content or boilerplate; parent-child potentials
-tie them, lines also have evidence of their own.  One pass of sum-product
-messages upward and one downward gives each line its marginal.  Evidence
-weights and potentials are trained on a bounded number of pages labelled by
-the article, navigation and footer of the page's HTML and by known phrases;
-unlabelled lines take part with their marginals.
+tie them, lines also have evidence of their own: words, shape, and the links
+of their block against what was noted of the page's links.  One pass of
+sum-product messages upward and one downward gives each line its marginal.
+Evidence weights and potentials are trained by EM on a bounded number of
+pages.  The labels come from the pages' HTML alone: lines of the article are
+content, lines of its navigation and footer boilerplate, and so are forms of
+lines that recur on the training pages but stand in none of their articles.
+No phrase is given beforehand; lines without a label take part with their
+marginals.
 """
 
 from __future__ import annotations
@@ -27,29 +31,20 @@ from pagewright.session import site_of
 
 #: Bound of the labelled pages that the model is fitted on.
 TRAINING_PAGES = 1500
-#: Lines with more spaces give their words only.
-LONG = 24
+#: A form of a line recurs if so many training pages have it.
+RECURS = 3
 HEAD, BODY, TAIL, FLAT = range(4)
 _ZONES = [f"~zone {z}" for z in range(4)]
 _ZEROS = repeat(0.0)
 
-# Phrases of page furniture, used only to label training lines.
-FURNITURE = re.compile(
-    r"(?i)\bcookies?\b|privacy matters|place trackers|small files on|measure our audience|nos partenaires|unsere partner|nuestros socios|dépose de petits fichiers|speichert kleine dateien|guarda pequeños archivos|datenschutz|confidentialité|privacidad"
-    r"|^(advertisement|anzeige|publicité|publicidad|menu|menü|menú|sponsored)$|^(hot deals|new:|try our) .*\bsets?$"
-    r"|mailing list|weekly letter|never miss a|sign up free|^your email|enter your address|newsletter|subscribe"
-    r"|people shared this|^share +this|^send +this|^save +this|tell your neighbours|^pass +it +on"
-    r"|is published by|are sold in|powered by|theme:|back to top|^follow us"
-    r"|all rights reserved|^copyright\b|^\(c\) |^© ?|registered office|may not be (copied|resold|reproduced)|nothing +on +this +page|no +part +of +this +text"
-    r"|does not vouch|accepts no liability|is not responsible for|\]\(/(terms|privacy|imprint|access|sitemap|feed|letter)\)"
-    r"|^\[skip to|^search \S+( \S+){0,4}$|^tags?: |^\[«|»\]\([^)]*\)$"
-)
-LISTS = re.compile(
-    r"(?i)^(#{1,6} |\*\*)?(most read|related stories|trending now|you may also like|les plus lus|à lire aussi|sur le même sujet|mehr zum thema|auch interessant|meistgelesen"
-    r"|lo más leído|también te puede interesar|más sobre el tema|te puede interesar)(\*\*)?$"
-)
-OWN = re.compile(r"(?i)^(by|written +by|edited +by|reported +by|von|par|por|#+ )\b|not found|no longer exists|try again|javascript|scripts?\b|went wrong|server error|unavailable|forbidden|database connection|^error \d|introuvable|nicht gefunden|no encontramos|request id|reference \d|traceback|placeholder|^useful places")
+# Words that begin a byline.
+BYLINE = re.compile(r"(?i:(?:(?:written|edited|reported)\s+)?by|von|par|por)\s+(?:the\s|[A-ZÀ-Þ])")
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]")
+_FORM_TOKEN = re.compile(r"\x02\S*|[^\W\d_]+(?:['’][^\W\d_]+)*|\d+|[^\w\s]")
+_LINK = re.compile(r"\[[^\]]*\]\(([^)\s]*)\)")
+_MARKUP = re.compile(r"```.*|</?[A-Za-z][^<>]*>|\\(?:begin|end)\{[^{}]*\}|\\[A-Za-z]+")
+_DIGITS = re.compile(r"\d+")
+_LINK_TEXT = re.compile(r"\[([^\]]*)\]\(")
 _LINK_LINE = re.compile(r"(?:[-*] |\d+\. )?\[[^\]]*\]\(([^)\s]*)\)[.,;]?$")
 _ITEM = re.compile(r"([-*+]|\d+[.)]) ")
 _END = ".!?…:;\"'”»)"
@@ -63,17 +58,12 @@ def site_words(sitename: str | None, host: str | None) -> frozenset[str]:
 
 
 def line_features(line: str, names: frozenset[str]) -> list[str]:
-    """Evidence of one line: its words, short runs of words (in short lines) and its shape."""
-    low = line.lower()
-    if line.count(" ") > LONG:
-        out = low.replace(",", "").replace(".", "").split()
-        out.append("~long")
-    else:
-        tokens = ["0" if t[0].isdigit() else "\x01" if t in names else t for t in _TOKEN.findall(low)]
-        out = tokens + [a + " " + b for a, b in zip(tokens, tokens[1:])]
-        out.append("^" + tokens[0] if tokens else "^")
-        out.append("~upper" if line.isupper() else "~title" if line.istitle() else "~mixed")
-        out.append(f"~length {min(6, len(tokens).bit_length())}")
+    """Evidence of one line: its words, short runs of words and its shape."""
+    tokens = ["0" if t[0].isdigit() else "\x01" if t in names else t for t in _TOKEN.findall(line.lower())]
+    out = tokens + [a + " " + b for a, b in zip(tokens, tokens[1:])]
+    out.append("^" + tokens[0] if tokens else "^")
+    out.append("~upper" if line.isupper() else "~title" if line.istitle() else "~mixed")
+    out.append(f"~length {len(tokens).bit_length()}")
     first = line[0]
     if "](" in line:
         m = _LINK_LINE.match(line)
@@ -95,15 +85,43 @@ def line_features(line: str, names: frozenset[str]) -> list[str]:
     return out
 
 
+def form_of(line: str, names: frozenset[str]) -> str:
+    """A line without what varies: numbers, names inside it, the site's own name, what its links say and where exactly they lead.
+
+    Empty if nothing but markup is left.
+    """
+    line = _LINK.sub(lambda m: f" \x02{'http' if m[1].startswith('http') else m[1][:1] + _DIGITS.sub('0', m[1][1:].partition('/')[0])} ", line)
+    bare = _MARKUP.sub(" ", line)
+    if "\x02" not in line and not any(c.isalpha() for c in bare):
+        return ""
+    shown = not (line.istitle() or line.isupper())
+    out: list[str] = []
+    for k, t in enumerate(_FORM_TOKEN.findall(line)):
+        low = t.lower()
+        x = "0" if t[0].isdigit() else "\x01" if low in names else "*" if shown and k and t[0].isupper() else low
+        if not (out and x == out[-1] and x in "\x01*"):
+            out.append(x)
+    return " ".join(out)
+
+
+def shape_of(line: str) -> str:
+    """The shape of a list item: its mark, links, end and length.  Empty for other lines."""
+    item = _ITEM.match(line)
+    if not item:
+        return ""
+    return f"\x03{'0' if line[0].isdigit() else line[0]} {'link' if '](' in line else 'text'} {'end' if line[-1] in _END else 'open'} {line.count(' ').bit_length()}"
+
+
 @dataclass
 class Page:
-    """Lines (their numbers), the block of each line, the zone of each block and its kind."""
+    """Lines (their numbers), the block of each line, the zone of each block, which lines are code, and the links of each block."""
 
     numbers: list[int]
     lines: list[str]
     block: list[int]
     zone: list[int]
     code: list[bool]
+    links: list[str]
 
 
 def outline(content: str) -> Page:
@@ -133,7 +151,17 @@ def outline(content: str) -> Page:
     running = [k for k, p in enumerate(prose) if p]
     if running:
         zone = [HEAD if k < running[0] else TAIL if k > running[-1] else BODY for k in range(b + 1)]
-    return Page(numbers, lines, block, zone, code)
+    linked, words = [0] * (b + 1), [0] * (b + 1)
+    for line, k in zip(lines, block):
+        linked[k] += sum(m.count(" ") + 1 for m in _LINK_TEXT.findall(line)) if "](" in line else 0
+        words[k] += line.count(" ") + 1
+    links = [f"~links {0 if not n else 1 + min(2, 3 * n // max(1, w))}" for n, w in zip(linked, words)]
+    return Page(numbers, lines, block, zone, code, links)
+
+
+def page_links(count: int | None, density: float | None) -> str:
+    """What was noted of a page's links, in steps; nulls are a step of their own."""
+    return f"/{'?' if count is None else min(4, int(count).bit_length())}/{'?' if density is None else min(3, int(4 * density))}"
 
 
 @dataclass
@@ -147,23 +175,30 @@ class Model:
     root_zone: np.ndarray
 
 
-def evidence(page: Page, names: frozenset[str], title: str, model: Model, known: dict) -> list[float]:
+def context(page: Page, k: int, title: str, byline: str, noted: str) -> list[str]:
+    """Evidence from the place of a line: its zone, its block's links against the page's, and whether it is code, the title or the byline."""
+    b = page.block[k]
+    out = [_ZONES[page.zone[b]], page.links[b], page.links[b] + noted]
+    if page.code[k]:
+        out.append("~code")
+    if title and page.lines[k].lstrip("# ").lower() == title:
+        out.append("~the title")
+    if byline and byline in page.lines[k].lower():
+        out.append("~the byline")
+    return out
+
+
+def evidence(page: Page, names: frozenset[str], title: str, byline: str, noted: str, model: Model, known: dict) -> list[float]:
     get = model.weights.get
     out = []
     for k, line in enumerate(page.lines):
-        place = page.zone[page.block[k]]
-        if page.code[k]:
-            out.append(-12.0)
-            continue
-        key = (line, place, names) if len(line) < 160 else None
+        key = (line, names) if len(line) < 160 else None
         x = known.get(key) if key else None
         if x is None:
-            x = model.bias + sum(map(get, line_features(line, names), _ZEROS)) + get(_ZONES[place], 0.0)
+            x = model.bias + sum(map(get, line_features(line, names), _ZEROS))
             if key and len(known) < 200_000:
                 known[key] = x
-        if title and line.lstrip("# ").lower() == title:
-            x -= 6.0
-        out.append(x)
+        out.append(x + sum(map(get, context(page, k, title, byline, noted), _ZEROS)))
     return out
 
 
@@ -226,36 +261,32 @@ def _plain(x: str) -> str:
     return _SPACE.sub(" ", html.unescape(_TAG.sub("", x))).strip().lower()
 
 
-def labels(page: Page, title: str, markup: str | None, nav_words: frozenset[str]) -> list[int]:
-    """1 boilerplate, 0 content, -1 unknown for each line of a training page."""
-    own = set()
-    if markup:
-        for part in _ARTICLE.findall(markup):
-            own.update(_plain(b) for _, b in _PART.findall(part))
+def _shown(x: str | None) -> str:
+    return _SPACE.sub(" ", x or "").strip().lower()
+
+
+def labels(page: Page, forms: list[str], own: set[str], title: str, byline: str, foreign: frozenset[str], content: frozenset[str], nav_words: frozenset[str]) -> list[int]:
+    """1 boilerplate, 0 content, -1 unknown for each line of a training page.
+
+    own: texts of the page's article; foreign, content: forms that recur
+    outside all articles, and that stand in some article.  What a foreign line
+    heads in its block is foreign too.
+    """
     out = []
-    listed = -1
-    numbered: dict[int, bool] = {}
-    for b, line in zip(page.block, page.lines):
-        numbered[b] = numbered.get(b, True) and bool(re.match(r"\d+\. \S", line)) and line[-1] not in ".!?" and line.count(" ") < 10
-    for k, line in enumerate(page.lines):
+    headed = -1
+    for k, (line, form) in enumerate(zip(page.lines, forms)):
         low = line.lower()
         words = re.findall(r"[^\W\d_]+", re.sub(r"\]\([^)]*\)", "]", low))
-        if page.code[k] or line[0] in "<\\" or low in own or low.lstrip("# ") in own or (title and low.lstrip("# ") == title):
+        if low in own or low.lstrip("# ") in own or form in content or low.lstrip("# ") == title or (byline and byline in low) or (BYLINE.match(line) and line[-1] not in ".!?"):
             y = 0
-        elif LISTS.match(line):
-            y, listed = 1, page.block[k]
-        elif FURNITURE.search(line) and not (line.count(" ") > 24):
-            y = 1
-            if re.match(r"(?i)^(advertisement|anzeige|publicité|publicidad)$", line):
-                listed = page.block[k]
-        elif listed == page.block[k] or numbered[page.block[k]]:
-            y = 1
-        elif words and all(w in nav_words for w in words) and (len(words) > 1 or line[0] in "-*["):
+        elif page.code[k] or (_MARKUP.match(line) if form else _MARKUP.search(line)):  # navigation and notices hold no code and no other markup
+            y = 0
+        elif headed == page.block[k]:
             y = 1
-        elif "»" in line and "](" in line:
+        elif form in foreign or shape_of(line) in foreign or (words and all(w in nav_words for w in words) and (len(words) > 1 or line[0] in "-*[")):
             y = 1
-        elif OWN.search(line) or line.count(" ") >= 11 or (line[0] == "#") or re.match(r"[-*>] [^\[]", line):
-            y = 0
+            if line[0] in "#*" and (k == 0 or page.block[k - 1] != page.block[k]):
+                headed = page.block[k]
         else:
             y = -1
         out.append(y)
@@ -263,36 +294,45 @@ def labels(page: Page, title: str, markup: str | None, nav_words: frozenset[str]
 
 
 def fit(rows: list[tuple], rounds: int = 2, steps: int = 100) -> Model:
-    """rows: (content, title, sitename, host, html of the page or None).
+    """rows: (content, title, byline, sitename, host, link count, link density, html of the page or None).
 
     Logistic weights first on the labelled lines, then EM: marginals of all
     lines by sum-product, new potentials from the expected pairs, new weights
     from the marginals.
     """
-    pages, names, titles = [], [], []
-    marks: list[int] = []
+    pages, names, titles, bylines, noted, owns, forms = [], [], [], [], [], [], []
     nav: Counter = Counter()
-    for content, title, sitename, host, markup in rows:
+    seen: Counter = Counter()
+    inside: Counter = Counter()
+    for content, title, byline, sitename, host, count, density, markup in rows:
         for part in _NAV.findall(markup or ""):
             nav.update(set(re.findall(r"[^\W\d_]{2,}", _plain(part.replace("<", " <")))))
-    nav_words = frozenset(w for w, n in nav.items() if n >= max(3, len(rows) // 500))
-    for content, title, sitename, host, markup in rows:
         page = outline(content or "")
-        if page.lines:
-            t = _SPACE.sub(" ", title or "").strip().lower()
-            pages.append(page)
-            names.append(site_words(sitename, host))
-            titles.append(t)
-            marks.extend(labels(page, t, markup, nav_words))
+        if not page.lines:
+            continue
+        own = {_plain(b) for part in _ARTICLE.findall(markup or "") for _, b in _PART.findall(part)}
+        pages.append(page)
+        names.append(site_words(sitename, host))
+        titles.append(_shown(title))
+        bylines.append(_shown(byline))
+        noted.append(page_links(count, density))
+        owns.append(own)
+        forms.append([form_of(x, names[-1]) for x in page.lines])
+        seen.update({*forms[-1], *map(shape_of, page.lines)})
+        inside.update({f for x in own if x for f in (form_of(x, names[-1]), shape_of(x))})
+    nav_words = frozenset(w for w, n in nav.items() if n >= max(3, len(rows) // 500))
+    foreign = frozenset(f for f, n in seen.items() if f and n >= RECURS and not inside[f])
+    content = frozenset(f for f in inside if f and f[0] != "\x03")
+    marks = [y for x in zip(pages, forms, owns, titles, bylines) for y in labels(*x, foreign, content, nav_words)]
     even = np.log(np.full((4, 2, 2), 0.5))
     start = np.log(np.array([[[0.9, 0.1], [0.1, 0.9]]] * 4))
     if not pages:
         return Model({}, -2.0, start, start, even)
     count: Counter = Counter()
     feats: list[list[str]] = []
-    for page, own in zip(pages, names):
+    for page, own, title, byline, links in zip(pages, names, titles, bylines, noted):
         for k, line in enumerate(page.lines):
-            f = [] if page.code[k] else [*line_features(line, own), _ZONES[page.zone[page.block[k]]]]
+            f = [*line_features(line, own), *context(page, k, title, byline, links)]
             feats.append(f)
             count.update(set(f))
     ids = {f: i for i, f in enumerate(sorted(f for f, n in count.items() if n >= 4))}
@@ -301,7 +341,6 @@ def fit(rows: list[tuple], rounds: int = 2, steps: int = 100) -> Model:
     row = np.repeat(np.arange(len(kept)), [len(x) for x in kept])
     y0 = np.array(marks)
     target, sure = np.maximum(y0, 0).astype(float), (y0 >= 0).astype(float)
-    coded = np.array([c for p in pages for c in p.code])
     w, bias = np.zeros(len(ids)), 0.0
     forest = _forest(pages)
     model = Model({}, bias, start.copy(), start.copy(), even.copy())
@@ -318,7 +357,7 @@ def fit(rows: list[tuple], rounds: int = 2, steps: int = 100) -> Model:
             c1, c2 = 1 - 0.9**step, 1 - 0.99**step
             w -= 0.05 * (m1 / c1) / (np.sqrt(m2 / c2) + 1e-9)
             bias -= 0.05 * (mb1 / c1) / (np.sqrt(mb2 / c2) + 1e-9)
-        odds = np.where(coded, -12.0, np.bincount(row, w[index], len(kept)) + bias)
+        odds = np.bincount(row, w[index], len(kept)) + bias
         if turn == rounds:
             break
         clamped = np.where(y0 == 1, 12.0, np.where(y0 == 0, -12.0, odds))
@@ -339,17 +378,17 @@ def fit(rows: list[tuple], rounds: int = 2, steps: int = 100) -> Model:
 
 
 def boilerplate_lines(batch: list[tuple], model: Model, known: dict) -> list[list[int]]:
-    """batch: (content, title, sitename, host) -> numbers of the boilerplate lines of each."""
+    """batch: (content, title, byline, sitename, host, link count, link density) -> numbers of the boilerplate lines of each."""
     pages, odds, where = [], [], []
     out: list[list[int]] = [[] for _ in batch]
-    for k, (content, title, sitename, host) in enumerate(batch):
+    for k, (content, title, byline, sitename, host, count, density) in enumerate(batch):
         page = outline(content) if content else None
         if page and page.lines:
             names = known.get((sitename, host))
             if names is None:
                 names = known[(sitename, host)] = site_words(sitename, host)
             pages.append(page)
-            odds.extend(evidence(page, names, _SPACE.sub(" ", title or "").strip().lower(), model, known))
+            odds.extend(evidence(page, names, _shown(title), _shown(byline), page_links(count, density), model, known))
             where.append(k)
     if pages:
         belief, _ = sum_product(np.array(odds), *_forest(pages), len(pages), model)
@@ -361,6 +400,11 @@ def boilerplate_lines(batch: list[tuple], model: Model, known: dict) -> list[lis
     return out
 
 
+def read_columns() -> tuple:
+    """What the model reads of a record."""
+    return "result_id", "content", "title", "byline", "sitename", site_of(F.coalesce("final_url", "url")).alias("host"), "link_count", F.col("validation.linkDensity").alias("density")
+
+
 def train(extractions: DataFrame, pages: DataFrame, limit: int = TRAINING_PAGES) -> Model:
     """Fits on at most ``limit`` records, those with the lowest hash of their id.
 
@@ -372,11 +416,11 @@ def train(extractions: DataFrame, pages: DataFrame, limit: int = TRAINING_PAGES)
     share = min(1.0, 1.5 * limit / max(1, extractions.count()))
     below = ids.filter(F.col("h") <= int((share - 0.5) * (2**64 - 1))) if share < 1 else ids
     chosen = [r.result_id for r in below.distinct().orderBy("h", "result_id").limit(limit).collect()]
-    picked = extractions.select("result_id", "page_id", "content", "title", "sitename", site_of(F.coalesce("final_url", "url")).alias("host"))
+    picked = extractions.select("page_id", *read_columns())
     picked = picked.filter(F.col("content").isNotNull() & F.col("result_id").isin(chosen)).dropDuplicates(["result_id"]).orderBy("result_id").collect() if chosen else []
     wanted = sorted({r.page_id for r in picked if r.page_id is not None})
     markup = {r.page_id: r.html for r in pages.select("page_id", "html").filter(F.col("page_id").isin(wanted)).collect()} if wanted else {}
-    return fit([(r.content, r.title, r.sitename, r.host, markup.get(r.page_id)) for r in picked])
+    return fit([(r.content, r.title, r.byline, r.sitename, r.host, r.link_count, r.density, markup.get(r.page_id)) for r in picked])
 
 
 def marked_lines(extractions: DataFrame, pages: DataFrame, limit: int = TRAINING_PAGES) -> DataFrame:
@@ -385,12 +429,12 @@ def marked_lines(extractions: DataFrame, pages: DataFrame, limit: int = TRAINING
     Null and empty contents have no lines.  Only ids and numbers are shuffled.
     """
     model = train(extractions, pages, limit)
-    src = extractions.select("result_id", "content", "title", "sitename", site_of(F.coalesce("final_url", "url")).alias("host"))
+    src = extractions.select(*read_columns())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for b in batches:
-            rows = list(zip(*[b.column(i).to_pylist() for i in range(1, 5)]))
+            rows = list(zip(*[b.column(i).to_pylist() for i in range(1, 8)]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(boilerplate_lines(rows, model, known), pa.list_(pa.int64()))], names=["result_id", "boilerplate"])
 
     return src.mapInArrow(run, "result_id bigint, boilerplate array<bigint>").dropDuplicates(["result_id"])
@@ -408,12 +452,12 @@ def main_content(extractions: DataFrame, pages: DataFrame) -> DataFrame:
     repeated deliveries are removed by id afterwards.
     """
     model = train(extractions, pages)
-    src = extractions.select("result_id", "content", "title", "sitename", site_of(F.coalesce("final_url", "url")).alias("host"))
+    src = extractions.select(*read_columns())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
         for b in batches:
-            rows = list(zip(*[b.column(i).to_pylist() for i in range(1, 5)]))
+            rows = list(zip(*[b.column(i).to_pylist() for i in range(1, 8)]))
             marked = boilerplate_lines(rows, model, known)
             kept = []
             for (content, *_), drop in zip(rows, marked):

@@ -21,9 +21,9 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": _on(boilerplate.found_lines, "extractions", "page_in"),
         "p1_content": _on(boilerplate.main_content, "extractions", "page_in"),
-        "p2_found": _on(residue.residue_records, "extractions"),
-        "p2_reasons": _on(residue.judged_records, "extractions"),
-        "p2_clean": lambda s, d: residue.without_residue(table(s, d, "extractions").select("result_id", "page_id", "loaded_at", "content")),
+        "p2_found": _on(residue.residue_records, "extractions", "page_in"),
+        "p2_reasons": _on(residue.judged_records, "extractions", "page_in"),
+        "p2_clean": lambda s, d: residue.without_residue(table(s, d, "extractions"), table(s, d, "page_in")).select("result_id", "page_id", "loaded_at", "content"),
         "p3_found": _on(repetition.repetitive_records, "extractions"),
         "p3_shares": lambda s, d: repetition.score_repetition(table(s, d, "extractions"), exact_for_all=True).select("result_id", "words", "repeated", F.round("repeated_share", 6).alias("repeated_share")),
         "p3_pruning": _on(repetition.pruning, "extractions"),
