@@ -318,7 +318,8 @@ def fit(rows: list[tuple], rounds: int = 2, steps: int = 100) -> Model:
         noted.append(page_links(count, density))
         owns.append(own)
         forms.append([form_of(x, names[-1]) for x in page.lines])
-        seen.update({*forms[-1], *map(shape_of, page.lines)})
+        if own:  # without an article nothing is known to stand outside it
+            seen.update({*forms[-1], *map(shape_of, page.lines)})
         inside.update({f for x in own if x for f in (form_of(x, names[-1]), shape_of(x))})
     nav_words = frozenset(w for w, n in nav.items() if n >= max(3, len(rows) // 500))
     foreign = frozenset(f for f, n in seen.items() if f and n >= RECURS and not inside[f])
