@@ -27,6 +27,7 @@ BINARY_TYPES = ["image/", "audio/", "video/", "application/pdf", "application/zi
 LLM_GATE = ["llm", "language model", "ai agent"]
 LLM_TEXT = [r"(?i)instructions?\s+for\s+LLMs?", r"(?i)instructions?\s+for\s+(AI|language\s+model|large\s+language)", r"(?i)LLM\s+instructions?", r"(?i)AI\s+agent\s+instructions?"]
 RETRYABLE = ["connection reset", "connection refused", "no such host", "i/o timeout", "eof"]
+RETRYABLE_KINDS = ["ECONNRESET", "ECONNREFUSED", "ETIMEDOUT", "timeout", "dns-temporary"]
 _NOSCRIPT = r"(?is)<noscript[^>]*>(.*?)</noscript>"
 
 
@@ -151,9 +152,12 @@ def has_llm_text_sql(x: str) -> str:
     return f"coalesce(({gate}) AND {rx.matches_sql(x, LLM_TEXT)}, false)"
 
 
-def is_retryable(error: Column) -> Column:
-    return F.coalesce(F.lower(error).rlike("|".join(RETRYABLE)), F.lit(False))
+def is_retryable(error: Column, kind: Column | None = None) -> Column:
+    """kind: what sort of failure the fetcher noted (an errno name, timeout, dns-temporary), where it did."""
+    said = F.coalesce(F.lower(error).rlike("|".join(RETRYABLE)), F.lit(False))
+    return said if kind is None else said | F.coalesce(kind.isin(RETRYABLE_KINDS), F.lit(False))
 
 
-def is_retryable_sql(x: str) -> str:
-    return f"coalesce(regexp_matches(lower({x}), {rx.q('|'.join(RETRYABLE))}), false)"
+def is_retryable_sql(x: str, kind: str | None = None) -> str:
+    said = f"coalesce(regexp_matches(lower({x}), {rx.q('|'.join(RETRYABLE))}), false)"
+    return said if kind is None else f"({said} OR coalesce({kind} IN ({', '.join(map(rx.q, RETRYABLE_KINDS))}), false))"

@@ -40,16 +40,21 @@ def fingerprint_sql(x: str) -> str:
     return f"substr(sha256({normal_sql(x)}), 1, 32)"
 
 
-def _long_words(norm: Column) -> Column:
-    return F.array_distinct(F.filter(rx.words(norm), lambda w: F.octet_length(w) >= 3))
+def long_words(norm: Column) -> Column:
+    """Hashes of the distinct longer words of a normalised text."""
+    return F.array_distinct(F.transform(F.filter(rx.words(norm), lambda w: F.octet_length(w) >= 3), lambda w: F.xxhash64(w)))
 
 
-def significance(old: Column, new: Column) -> Column:
-    """0 to 100: share of the distinct longer words that only one version has.  old, new: normalised texts."""
-    a, b = _long_words(old), _long_words(new)
+def significance_of(same: Column, a: Column, b: Column) -> Column:
+    """0 to 100 from two sets of word hashes."""
     both = F.size(F.array_intersect(a, b))
     union = F.size(a) + F.size(b) - both
-    return F.when((old == new) | (union == 0), 0).otherwise(F.floor((F.lit(1.0) - both / union) * 100).cast("int")).cast("bigint")
+    return F.when(same | (union == 0), 0).otherwise(F.floor((F.lit(1.0) - both / union) * 100).cast("int")).cast("bigint")
+
+
+def significance(old: Column, new: Column) -> Column:
+    """0 to 100: share of the distinct longer words that only one version has.  old, new: normalised texts."""
+    return significance_of(old == new, long_words(old), long_words(new))
 
 
 def significance_sql(old: str, new: str) -> str:

@@ -187,8 +187,9 @@ def extract(pages: DataFrame, options: ExtractOptions = ExtractOptions()) -> Dat
     out = out.withColumn("conf", F.when(c("use_ld"), conf(c("n"), c("h"), c("paragraphs"), F.size("signals2"))).otherwise(c("conf")))
     out = out.withColumn("is_spa", (F.size("signals") >= 2) | (c("conf") < 30))
     if options.dedupe:
-        d = blocks.dedupe(out.select("page_id", "content"), "page_id", "content").withColumnRenamed("content", "deduped")
-        out = out.join(d, "page_id", "left").withColumns({"content": F.coalesce("deduped", "content"), "n": F.octet_length(F.coalesce("deduped", "content")).cast("bigint")})
+        out = blocks.mark_blocks(out, "content", to="marked")  # inside the row: the tree stage runs once
+        out = out.withColumns(blocks.dedupe_columns(c("marked"))).drop("marked")
+        out = out.withColumn("n", F.octet_length("content").cast("bigint"))
     quality = {k: v.alias(k) for k, v in markdown.quality(c("content")).items()}
     out = out.withColumn("quality_info", F.struct(*quality.values()))
     out = out.withColumn("profile", scoring.profile(c("conf"), c("n"), c("h"), c("paragraphs"), c("signals2"), c("is_spa"), c("blocked")))

@@ -13,7 +13,16 @@ BROADCAST_LIMIT_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than cores (a single small file) dealt out to all cores; any other as it is.
+
+    Large tables have more splits than cores and are never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
 def local_session(app: str = "pagewright", cpus: str | int | None = None) -> SparkSession:
