@@ -52,13 +52,3 @@ def blocks_of(markup: str | None) -> list[dict]:
     """Up to ten blocks with a type, headline or description."""
     found = [m.strip() for m in _SCRIPT.findall(markup or "")[:MOST_BLOCKS]]
     return [b for b in map(parse_block, filter(None, found)) if b["type"] or b["headline"] or b["description"]]
-
-
-def to_markdown(blocks: list[dict]) -> str:
-    parts = []
-    for b in blocks:
-        if not (b["headline"] or b["description"]):
-            continue
-        meta = [x for x in (b["author"] and "By " + b["author"], b["datePublished"], b["publisher"]) if x]
-        parts += [x for x in (b["headline"] and "## " + b["headline"], " · ".join(meta), b["description"]) if x]
-    return "\n\n".join(parts).strip()

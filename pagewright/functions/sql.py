@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
-from pagewright.functions import detect, fingerprint, markdown
+from pagewright.functions import detect, fingerprint, markdown, rx
+from pagewright.session import site_of, table
 
 FUNCTIONS: dict[str, tuple[Callable[[Column], Column], str]] = {
     "is_blocked_page": (detect.is_blocked, "BOOLEAN"), "is_binary_type": (detect.is_binary, "BOOLEAN"),
     "has_llm_text": (detect.has_llm_text, "BOOLEAN"), "md_cleanup": (markdown.cleanup, "STRING"), "md_headings": (markdown.headings, "BIGINT"), "md_links": (markdown.links, "BIGINT"),
-    "semantic_fingerprint": (fingerprint.fingerprint, "STRING"), "strip_invisible": (markdown.strip_invisible, "STRING"),
+    "semantic_fingerprint": (fingerprint.fingerprint, "STRING"), "strip_invisible": (markdown.strip_invisible, "STRING"), "normal_text": (fingerprint.normal, "STRING"),
+    "is_retryable_error": (detect.is_retryable, "BOOLEAN"), "site_of_url": (site_of, "STRING"),
 }
 
 
@@ -36,3 +38,18 @@ def _sql_of(probe, fn: Callable[[Column], Column]) -> str:
     plan = probe.select(fn(F.col("x")).alias("out"))._jdf.queryExecution().analyzed()
     text = plan.expressions().apply(0).child().sql()
     return text.replace("x.`x`", "x").replace("`x`", "x")
+
+
+def demo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every function called from SQL, over the records."""
+    register_all(spark)
+    table(spark, sf_dir, "extractions").select("result_id", "content", "url").createOrReplaceTempView("pagewright_sql_demo")
+    return spark.sql("""SELECT result_id, is_blocked_page(content) AS is_blocked, is_binary_type(content) AS is_binary, has_llm_text(content) AS llm, md5(md_cleanup(content)) AS clean, md_headings(content) AS headings, md_links(content) AS links,
+      semantic_fingerprint(content) AS fingerprint, md5(strip_invisible(content)) AS visible, md5(normal_text(content)) AS normal, is_retryable_error(content) AS retry, site_of_url(url) AS site FROM pagewright_sql_demo""").dropDuplicates(["result_id"])
+
+
+def demo_sql() -> str:
+    return rf"""SELECT result_id, {detect.is_blocked_sql('content')} AS is_blocked, {detect.is_binary_sql('content')} AS is_binary, {detect.has_llm_text_sql('content')} AS llm, md5({markdown.cleanup_sql('content')}) AS clean,
+      {rx.count_sql('content', markdown.HEADING)} AS headings, {rx.count_sql('content', markdown.LINK)} - {rx.count_sql('content', markdown.IMAGE)} AS links, {fingerprint.fingerprint_sql('content')} AS fingerprint, md5(regexp_replace(content, '{markdown.INVISIBLE}', '', 'g')) AS visible,
+      md5({fingerprint.normal_sql('content')}) AS normal, {detect.is_retryable_sql('content')} AS retry, regexp_replace(lower(regexp_extract(url, '//([^/:?#]*)', 1)), '^(www\.|m\.)', '') AS site
+      FROM (SELECT DISTINCT result_id, content, url FROM extractions)"""

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.functions import detect, domops, fingerprint, htmltree, ldjson, markdown, rx, scoring
+from pagewright.functions import detect, domops, fingerprint, headers, htmltree, ldjson, markdown, rx, scoring
 from pagewright.operators import blocks
 
 
@@ -129,19 +129,19 @@ def _main(t: str | None) -> dict:
     return {
         "title": a["title"], "byline": a["byline"], "excerpt": a["excerpt"], "sitename": a["sitename"], "markdown": domops.markdown(dom, node),
         "headings": sum(t in domops.HEADINGS for t in inside), "links": inside.count("a"), "paragraphs": inside.count("p"), "bytes": domops.size(text),
-        "index": domops.index_page(dom), "fallback": domops.fallback_text(dom), "ldjson": ld, "ld_markdown": ldjson.to_markdown(ld),
+        "index": domops.index_page(dom), "fallback": domops.fallback_text(dom), "ldjson": ld,
     }
 
 
 _MAIN = (
     "title string, byline string, excerpt string, sitename string, markdown string, headings bigint, links bigint, paragraphs bigint, bytes bigint, "
     "index struct<is_index boolean, articles bigint, headlines bigint, confidence bigint, markdown string>, fallback struct<content string, length bigint, headings bigint, links bigint>, "
-    "ldjson array<struct<" + ", ".join(f"{f} string" for f in ldjson.FIELDS) + ">>, ld_markdown string"
+    "ldjson array<struct<" + ", ".join(f"{f} string" for f in ldjson.FIELDS) + ">>"
 )
 _MAIN_ARROW = pa.schema([
     ("title", _S), ("byline", _S), ("excerpt", _S), ("sitename", _S), ("markdown", _S), ("headings", _L), ("links", _L), ("paragraphs", _L), ("bytes", _L),
     ("index", pa.struct([("is_index", _B), ("articles", _L), ("headlines", _L), ("confidence", _L), ("markdown", _S)])), ("fallback", pa.struct([("content", _S), ("length", _L), ("headings", _L), ("links", _L)])),
-    ("ldjson", pa.list_(pa.struct([(f, _S) for f in ldjson.FIELDS]))), ("ld_markdown", _S),
+    ("ldjson", pa.list_(pa.struct([(f, _S) for f in ldjson.FIELDS]))),
 ])
 
 
@@ -150,23 +150,83 @@ def articles(df: DataFrame, key: str = "page_id", text: str = "html") -> DataFra
     return map_text(df, key, text, _main, _MAIN, _MAIN_ARROW).select(key, "title", "byline", "excerpt", "sitename", "markdown", "headings", "links", "paragraphs")
 
 
+def minimal_markdown(df: DataFrame, key: str = "page_id", text: str = "html", preprocess: bool = True) -> DataFrame:
+    """key, title, byline, markdown: the main article only, neither sanitised nor cleaned up; its plain text where the conversion fails."""
+
+    def row(t: str | None) -> dict:
+        dom = htmltree.parse(htmltree.preprocess(t or "") if preprocess else t)
+        a = domops.article(dom)
+        try:
+            shown = domops.markdown(dom, a["node"])
+        except (RecursionError, ValueError):
+            shown = dom.content(a["node"])
+        return {"title": a["title"], "byline": a["byline"], "markdown": shown}
+
+    return map_text(df, key, text, row, "title string, byline string, markdown string", pa.schema([("title", _S), ("byline", _S), ("markdown", _S)]))
+
+
+def is_markdown(headers_col: Column) -> Column:
+    """Whether the answer is Markdown by its Content-Type; null maps are not."""
+    return F.coalesce(F.contains(headers.header(headers.lower_keys(headers_col), "Content-Type"), F.lit("text/markdown")), F.lit(False))
+
+
+def markdown_records(pages: DataFrame, dedupe: bool = False) -> DataFrame:
+    """Answers that are Markdown (page_id, url, body, status, headers) as extraction records; all of it native.
+
+    Only a 200 is trusted; other answers have their computed confidence, and
+    those of a blocking status its profile.  Null bodies count as empty.
+    """
+    c = F.col
+    link = lambda h: headers.header(headers.lower_keys(c("headers")), h)
+    out = pages.select("page_id", "url", c("status").cast("int").alias("status"), markdown.cleanup(F.coalesce("body", F.lit(""))).alias("content"), headers.llms_txt(link("Link"), link("X-LLMs-Txt")).alias("llms_txt_url"))
+    if dedupe:
+        out = blocks.mark_blocks(out, "content", to="marked")
+        out = out.withColumns(blocks.dedupe_columns(c("marked"))).drop("marked")
+    out = out.withColumns({"n": F.octet_length("content").cast("bigint"), "h": markdown.headings(c("content")), "l": markdown.links(c("content")), "p": markdown.long_lines(c("content"))})
+    fine = c("status") == 200
+    conf = F.when(fine, F.lit(100).cast("bigint")).otherwise(scoring.confidence(c("n"), c("h"), c("p"), F.lit(0), F.lit(False)))
+    reason = scoring.status_reason(c("status"))
+    profile = lambda kind, outcome, why, sure, trusted: F.struct(F.lit(kind).alias("class"), F.lit(outcome).alias("outcome"), F.array(why).alias("reasons"), sure.alias("confidence"), F.lit(trusted).alias("trustworthy"))
+    out = out.withColumn("confidence", conf).withColumn("quality_info", F.struct(*[v.alias(k) for k, v in markdown.quality(c("content")).items()]))
+    return out.select(
+        "page_id", "url", markdown.title(c("content")).alias("title"), "content", c("n").alias("length"), "status", "confidence", reason.isNotNull().alias("is_blocked"), c("h").alias("heading_count"), c("l").alias("link_count"), c("p").alias("paragraph_count"),
+        F.round(markdown.score(c("quality_info")), 4).alias("quality"), "quality_info",
+        F.when(reason.isNotNull(), profile("blocked", "needs-browser", reason, c("confidence"), False)).when(fine, profile("ssr", "extract", F.lit("content-negotiation-markdown"), c("confidence"), True)).alias("profile"),
+        fingerprint.fingerprint(c("content")).alias("fingerprint"), scoring.validation(c("content"), c("h"), c("p"), c("l")).alias("validation"), detect.has_llm_text(c("content")).alias("has_llm_content"), "llms_txt_url",
+        *([c("original_blocks"), c("unique_blocks"), c("duplicates_found"), c("duplicate_signals")] if dedupe else []),
+    )
+
+
+def extract_negotiated(pages: DataFrame, options: "ExtractOptions" = None) -> DataFrame:
+    """Pages of both kinds (page_id, url, html, status, headers): Markdown answers as they are, the others through ``extract``."""
+    options = options or ExtractOptions()
+    kind = is_markdown(F.col("headers"))
+    plain = markdown_records(pages.filter(kind).withColumn("body", F.col("html")), options.dedupe)
+    return extract(pages.filter(~kind), options).unionByName(plain, allowMissingColumns=True)
+
+
 def extract(pages: DataFrame, options: ExtractOptions = ExtractOptions()) -> DataFrame:
-    """One extraction record per distinct page_id and text of ``pages`` (page_id, url, html, status).
+    """One extraction record per distinct page_id of ``pages`` (page_id, url, html, status).
 
-    Null HTML counts as empty.  With fast_mode the pages that need a browser
-    are told apart natively and never reach the Arrow stage.
+    Null HTML counts as empty; extra columns are left out.  Pages are read and
+    parsed once: with fast_mode those that need a browser are told apart
+    natively and go through the Arrow stage without their text.  Repeated
+    pages are removed at the end, so that no HTML is shuffled.
     """
-    src = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), "status").dropDuplicates(["page_id"])
-    src = src.withColumns({"signals": detect.spa_signals(F.col("html")), "blocked": detect.is_blocked(F.col("html")), "browser_reason": detect.browser_reason(F.col("html")) if options.fast_mode else F.lit("")})
-    todo = src.filter("browser_reason = ''") if options.fast_mode else src
+    src = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.col("status").cast("int").alias("status"))
+    hurried = detect.browser_reason(F.col("html")) if options.fast_mode else F.lit("")
+    carried = F.struct(
+        "page_id", "url", "status", detect.spa_signals(F.col("html")).alias("signals"), detect.is_blocked(F.col("html")).alias("blocked"),
+        F.when(F.col("status") == 200, detect.soft404_hints(F.col("html"), F.octet_length("html"))).alias("soft404"), hurried.alias("browser_reason"),
+    )
     # The tree stage keeps the row's own columns, so nothing is joined back.
-    kept = "struct<page_id bigint, url string, status int, signals array<string>, blocked boolean, soft404 array<string>>"
-    carried = F.struct("page_id", "url", F.col("status").cast("int").alias("status"), "signals", "blocked", F.when(F.col("status") == 200, detect.soft404_hints(F.col("html"), F.octet_length("html"))).alias("soft404")).alias("row")
-    rows = _with_tree(todo.select(carried, "html"), kept)
+    kept = "struct<page_id bigint, url string, status int, signals array<string>, blocked boolean, soft404 array<string>, browser_reason string>"
+    carried = src.select(carried.alias("row"), "html").select("row", F.when(F.col("row.browser_reason") == "", F.col("html")).alias("html"))
+    rows = _with_tree(carried, kept)
     conf = lambda n, h, p, s: scoring.confidence(n, h, p, s, F.col("blocked"))
     c = F.col
     out = rows.select("row.*", "tree.*")
-    out = out.withColumn("content", markdown.cleanup(c("markdown")))
+    out = out.withColumns({"content": markdown.cleanup(c("markdown")), "ld_markdown": ldjson_markdown(c("ldjson"))})
     out = out.withColumns({"n": F.octet_length("content").cast("bigint"), "h": c("headings"), "l": F.greatest(c("links"), markdown.links(c("content")))})
     out = out.withColumn("conf", conf(c("n"), c("h"), c("paragraphs"), F.size("signals")))
     out = out.withColumn("validation", scoring.validation(c("content"), c("h"), c("paragraphs"), c("l")))
@@ -196,25 +256,30 @@ def extract(pages: DataFrame, options: ExtractOptions = ExtractOptions()) -> Dat
     reason = scoring.status_reason(c("status"))
     blocked_profile = F.struct(F.lit("blocked").alias("class"), F.lit("needs-browser").alias("outcome"), F.concat(c("profile.reasons"), F.array(reason)).alias("reasons"), c("profile.confidence").alias("confidence"), F.lit(False).alias("trustworthy"))
     error = F.when(c("is_spa") & (c("conf") < 30), F.concat(F.lit("SPA detected with low confidence ("), c("conf").cast("string"), F.lit("%)"))) if options.fail_fast else F.lit(None).cast("string")
+    # A page left to a browser has its reason as its only issue.
+    hurried = c("browser_reason") != ""
+    v = c("validation")
+    issue = F.when(hurried, F.array("browser_reason")).otherwise(v["issues"])
+    out = out.withColumn("validation", v.withField("issues", issue).withField("is_valid", v["is_valid"] & ~hurried).withField("needs_browser", v["needs_browser"] | hurried).withField("confidence", F.when(hurried, 0.1).otherwise(v["confidence"])))
+    if options.fast_mode:
+        out = out.withColumns({x: F.when(~hurried, c(x)) for x in ("title", "content", "byline", "excerpt", "sitename", "n", "conf", "h", "l", "paragraphs", "is_spa", "profile", "quality_info", "signals2")})
     final = out.select(
         "page_id", "url", "title", "content", "byline", "excerpt", "sitename", c("n").alias("length"), "status", c("conf").alias("confidence"), "is_spa", (c("blocked") | reason.isNotNull()).alias("is_blocked"), c("signals2").alias("spa_signals"),
         c("h").alias("heading_count"), c("l").alias("link_count"), c("paragraphs").alias("paragraph_count"), F.round(markdown.score(c("quality_info")), 4).alias("quality"), "quality_info",
         F.when(reason.isNotNull(), blocked_profile).otherwise(c("profile")).alias("profile"), fingerprint.fingerprint(c("content")).alias("fingerprint"), "validation",
-        (F.size(F.coalesce("soft404", F.array())) >= 2).alias("is_soft404"), F.coalesce("soft404", F.array().cast("array<string>")).alias("soft404_hints"), c("ldjson").alias("ldjson_blocks"), detect.has_llm_text(c("content")).alias("has_llm_content"), error.alias("error"),
+        (F.size(F.coalesce("soft404", F.array())) >= 2).alias("is_soft404"), F.coalesce("soft404", F.array().cast("array<string>")).alias("soft404_hints"), c("ldjson").alias("ldjson_blocks"), detect.has_llm_text(c("content")).alias("has_llm_content"),
+        F.when(hurried, F.concat(F.lit("needs-browser: "), "browser_reason")).otherwise(error).alias("error"),
         *([c("original_blocks"), c("unique_blocks"), c("duplicates_found"), c("duplicate_signals")] if options.dedupe else []),
     )
-    if options.fast_mode:
-        left = src.filter("browser_reason <> ''").select("page_id", "url", "status", F.concat(F.lit("needs-browser: "), "browser_reason").alias("error"))
-        final = final.unionByName(left.withColumn("status", c("status").cast("int")), allowMissingColumns=True)
-    return final
+    return final.dropDuplicates(["page_id"])
 
 
 def _with_tree(df: DataFrame, kept: str) -> DataFrame:
-    """row (carried as it is), tree (what the Arrow stage reads off html)."""
+    """row (carried as it is), tree (what the Arrow stage reads off html; null where html is null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.struct(list(_MAIN_ARROW))
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_main(t) for t in b.column(1).to_pylist()], kind)], names=["row", "tree"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if t is None else _main(t) for t in b.column(1).to_pylist()], kind)], names=["row", "tree"])
 
     return df.mapInArrow(run, f"row {kept}, tree struct<{_MAIN}>")

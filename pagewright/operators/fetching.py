@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions import headers, rx
+from pagewright.functions import detect, headers, rx
 
 OK_HOURS, FAILED_HOURS = 24, 1
 
@@ -41,6 +41,12 @@ def fresh_rules(snapshots: DataFrame, now: Column) -> DataFrame:
     return alive.withColumn("nth", nth).filter("nth = 1").drop("nth")
 
 
+def preflight_error(status: Column, content_type: Column) -> Column:
+    """Why a page is not fetched after its HEAD answer; null: it is (other answers, 405 and none at all say nothing)."""
+    gone = F.when(status.isin(404, 410), F.concat(F.lit("HEAD preflight returned "), status.cast("string")))
+    return F.when((status == 200) & detect.is_binary(content_type), F.concat(F.lit("skipped binary content: "), content_type)).otherwise(gone)
+
+
 def backoff_seconds(attempt: Column, most: Column) -> Column:
     return F.least(F.pow(F.lit(2.0), attempt), most)
 

@@ -17,6 +17,11 @@ def file_stem(url: Column) -> Column:
     return F.translate(F.get(F.split(url, "//", -1), 1), "/:", "__")
 
 
+def file_path(url: Column, at: Column, kind: str, root: str = "renders") -> Column:
+    """One file for each page and time."""
+    return F.concat(F.lit(root + "/"), file_stem(url), F.date_format(at, "_yyyyMMdd_HHmmss"), F.lit("." + kind))
+
+
 def summary_line(profile: Column, title: Column, length: Column) -> Column:
     return F.format_string("%s | %s | %d bytes", F.concat_ws(" ", profile["class"], F.lit("→"), profile["outcome"]), F.coalesce(title, F.lit("")), length)
 

@@ -1,5 +1,8 @@
+import json
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from pagewright.functions import domops, htmltree, ldjson
 from pagewright.operators import extract, fetching
@@ -61,11 +64,12 @@ def test_snapshot():
     assert len(domops.snapshot_tree(n, 10)) < len(domops.snapshot_tree(n))
 
 
-def test_ldjson():
+def test_ldjson(spark):
     page = '<script type="application/ld+json">{"@graph":[{"x":1},{"headline":"H","author":[{"name":"A"},"B",3],"publisher":{"name":"P"}}]}</script><script type="application/ld+json">[1,{"name":"N"}]</script><script type="application/ld+json">bad</script>'
     got = ldjson.blocks_of(page)
+    shown = extract.ldjson_markdown(F.from_json(F.lit(json.dumps(got)), "array<struct<" + ",".join(f"{k}:string" for k in ldjson.FIELDS) + ">>"))
+    assert spark.range(1).select(shown.alias("x")).first().x == "## H\n\nBy A, B · P\n\n## N"
     assert [(b["headline"], b["author"], b["publisher"]) for b in got] == [("H", "A, B", "P"), ("N", "", "")]
-    assert ldjson.to_markdown(got) == "## H\n\nBy A, B · P\n\n## N"
 
 
 def test_extract(spark):
@@ -76,6 +80,31 @@ def test_extract(spark):
     assert extract.extract(df.limit(0)).count() == 0
 
 
+def test_fast_mode_and_markdown_answers(spark):
+    shell = '<body><div id="root"></div></body>'
+    plain = "# Head\n\n" + "A line of some length, so that it counts. " * 3 + "\n\n# Head\n"
+    rows = [(1, "u", PAGE, 200, {"Content-Type": "text/html"}), (2, "v", shell, 200, None), (3, "w", plain, 200, {"content-type": "text/markdown; charset=utf-8", "Link": '</l>; rel="llms-txt"'}), (4, "x", plain, 503, {"Content-Type": "text/markdown"}), (5, "y", None, 404, {"Content-Type": "text/markdown"})]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, status int, headers map<string,string>")
+    got = {r.page_id: r for r in extract.extract_negotiated(df, extract.ExtractOptions(fast_mode=True, dedupe=True)).collect()}
+    assert got[2].error == "needs-browser: react-empty-shell" and got[2].content is None and got[2].validation["issues"] == ["react-empty-shell"] and got[2].validation["confidence"] == 0.1
+    assert got[1].error is None and got[1].title == "T"
+    assert got[3].confidence == 100 and got[3].profile["reasons"] == ["content-negotiation-markdown"] and got[3].title == "Head" and got[3].llms_txt_url == "/l" and got[3].duplicates_found == 1
+    assert got[4].is_blocked and got[4].profile["class"] == "blocked" and got[5].profile is None and got[5].length == 0
+
+
+def test_minimal_keeps_what_sanitising_removes(spark):
+    html = '<article><h1>H</h1><p>One paragraph, long enough to count, with commas.</p><p hidden>kept here, as nothing is sanitised at all</p></article>'
+    df = spark.createDataFrame([(1, html), (2, None)], "page_id bigint, html string")
+    got = {r.page_id: r.markdown for r in extract.minimal_markdown(df).collect()}
+    assert "kept here" in got[1] and got[1].startswith("# H") and got[2] == ""
+
+
+def test_head_preflight(spark):
+    rows = [(404, None), (410, "text/html"), (405, None), (200, "image/png"), (200, "text/html"), (None, None)]
+    df = spark.createDataFrame(rows, "s int, t string")
+    assert [r.e for r in df.select(fetching.preflight_error(F.col("s"), F.col("t")).alias("e")).collect()] == ["HEAD preflight returned 404", "HEAD preflight returned 410", None, "skipped binary content: image/png", None, None]
+
+
 def test_retry_log(spark):
     rows = [(1, 0, 502, None, None), (1, 1, 200, None, None), (2, 0, 429, None, 1.0), (2, 1, 429, None, 99.0), (3, 0, 0, "eof", None), (3, 1, 0, "eof", None)]
     df = spark.createDataFrame(rows, "req_id bigint, attempt bigint, status int, error string, retry_after_s double")
