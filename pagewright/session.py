@@ -69,6 +69,23 @@ def bounded_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_LIMIT_BYTES else df
 
 
+#: Parts into which a key's rows are split where a side is too large to be broadcast.
+JOIN_SALTS = 16
+
+
+def keyed_join(large: DataFrame, small: DataFrame, key: str, row_bytes: int, how: str = "inner", salt_by: str = "result_id") -> DataFrame:
+    """Join with one row per key of ``small``, which must be cheap to count.
+
+    ``small`` is broadcast if its measured size allows; else every key's rows
+    are split by ``salt_by`` over JOIN_SALTS tasks, so that no hot key meets
+    in one.
+    """
+    if small.count() * row_bytes <= BROADCAST_LIMIT_BYTES:
+        return large.join(F.broadcast(small), key, how)
+    salted = small.withColumn("join_salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
+    return large.withColumn("join_salt", F.pmod(F.xxhash64(salt_by), F.lit(JOIN_SALTS)).cast("int")).join(salted, [key, "join_salt"], how).drop("join_salt")
+
+
 def site_of(url):
     """Host of a URL column: lower-cased, without user, port and a leading ``www.`` or ``m.``.
 

@@ -33,3 +33,14 @@ def test_near_duplicates(spark):
     assert got == sorted(pairs) and len(pairs) > 10
     assert sorted((r.id, r.copy_of, r.class_id) for r in neardup.near_duplicate_classes(df, "result_id", "content").collect()) == sorted(classes)
     assert neardup.near_duplicate_classes(df.limit(0), "result_id", "content").count() == 0
+
+
+def test_keyed_join_of_either_kind(spark):
+    """A hot key, keys on one side only and null keys give the same rows broadcast and salted."""
+    from pagewright.session import keyed_join
+
+    large = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}" if i % 2 else None) for i in range(200)], "result_id bigint, k string")
+    small = spark.createDataFrame([("hot", 1), ("k3", 2), ("none", 3)], "k string, v int")
+    for how in ("inner", "left"):
+        a, b = (sorted(map(str, keyed_join(large, small, "k", size, how).select("result_id", "k", "v").collect())) for size in (1, 1 << 40))
+        assert a == b and len(a) == (200 if how == "left" else 134)
