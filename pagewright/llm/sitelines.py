@@ -3,8 +3,8 @@
 Level one counts, for every site and normalised line, the distinct records
 with the line.  Longer patterns grow by the next frequent line of the same
 record (a PrefixSpan whose gap is one), so the patterns of a record grow with
-its lines only.  All counting is by (site, line, record) first, so that a hot
-site is spread over all tasks.
+its lines only.  A line's identifier hashes its site and text, so a hot site
+is spread over all tasks, and equal lines are summed before they are shuffled.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.session import checkpoint, site_of
+from pagewright.session import checkpoint, keyed_join, site_of
 
 MIN_RECORDS, MIN_SHARE, MIN_LENGTH = 5, 0.1, 10
 #: White space other than the line feed.
@@ -36,22 +36,30 @@ def record_lines(extractions: DataFrame) -> DataFrame:
     return src.select("site", "result_id", F.filter(normal_lines(F.col("content")), lambda x: F.length(x) >= MIN_LENGTH).alias("lines"))
 
 
+def line_id(line: Column) -> Column:
+    return F.xxhash64("site", line)
+
+
 def frequent_lines(lines: DataFrame, min_records: int = MIN_RECORDS, min_share: float = MIN_SHARE) -> DataFrame:
-    """Level one: site, line_id, support, site_records of the lines in enough distinct records of their site."""
-    ids = F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))
-    # The record itself is the item null, so that sites' sizes come from the same shuffle.
-    items = lines.select("site", "result_id", F.explode(F.array_append(ids, F.lit(None).cast("bigint"))).alias("line_id"))
-    counted = items.groupBy("site", "line_id").agg(F.count_distinct("result_id").alias("support"))
-    counted = counted.filter((F.col("support") >= min_records) | F.col("line_id").isNull())
-    sizes = counted.filter("line_id is null").select("site", F.col("support").alias("site_records"))
-    kept = counted.filter("line_id is not null").join(sizes, "site")
-    return kept.filter(F.col("support") >= F.col("site_records") * min_share)
+    """Level one: line_id, support, site_records of the lines in enough distinct records of their site; checkpointed.
+
+    Only identifiers are shuffled: each record's once, to drop repeated
+    deliveries, then each line's count.  A record counts for its site as one
+    more line, so that the sites' sizes come from the same pass.
+    """
+    site_id = F.xxhash64("site")
+    ids = lines.select("result_id", site_id.alias("site_id"), F.array_append(F.array_distinct(F.transform("lines", line_id)), site_id).alias("ids")).dropDuplicates(["result_id"])
+    counted = ids.select("site_id", F.explode("ids").alias("line_id")).groupBy("line_id", "site_id").agg(F.count(F.lit(1)).alias("support"))
+    counted = checkpoint(counted.filter((F.col("support") >= min_records) | (F.col("line_id") == F.col("site_id"))))
+    sizes = counted.filter("line_id = site_id").select("site_id", F.col("support").alias("site_records"))
+    kept = counted.filter((F.col("line_id") != F.col("site_id")) & (F.col("support") >= min_records)).join(sizes, "site_id")
+    return checkpoint(kept.filter(F.col("support") >= F.col("site_records") * min_share).drop("site_id"))
 
 
 def line_texts(lines: DataFrame, frequent: DataFrame) -> DataFrame:
-    """Adds the text of each frequent line: a second reading of the lines against the few frequent ids."""
-    each = lines.select("site", F.explode(F.array_distinct("lines")).alias("line")).withColumn("line_id", F.xxhash64("line"))
-    return each.join(frequent, ["site", "line_id"]).groupBy("site", "line_id").agg(F.min("line").alias("line"), F.min("support").alias("support"), F.min("site_records").alias("site_records"))
+    """site, line_id, line, support, site_records: a second reading of the lines against the few frequent ids."""
+    each = lines.select("site", "result_id", F.explode(F.array_distinct("lines")).alias("line")).withColumn("line_id", line_id(F.col("line")))
+    return keyed_join(each, frequent, "line_id", 48).groupBy("site", "line_id").agg(F.min("line").alias("line"), F.min("support").alias("support"), F.min("site_records").alias("site_records"))
 
 
 def repeated_lines(extractions: DataFrame, min_records: int = MIN_RECORDS, min_share: float = MIN_SHARE) -> DataFrame:
@@ -61,7 +69,7 @@ def repeated_lines(extractions: DataFrame, min_records: int = MIN_RECORDS, min_s
     not matter, as every line over the threshold is kept.
     """
     lines = record_lines(extractions)
-    frequent = checkpoint(frequent_lines(lines, min_records, min_share))
+    frequent = frequent_lines(lines, min_records, min_share)
     return line_texts(lines, frequent).drop("line_id")
 
 
@@ -74,9 +82,9 @@ def repeated_sequences(extractions: DataFrame, min_records: int = MIN_RECORDS, m
     candidate that is one line longer, until a level is empty.
     """
     lines = record_lines(extractions)
-    frequent = checkpoint(frequent_lines(lines, min_records, min_share))
-    placed = lines.select("site", "result_id", F.posexplode("lines").alias("pos", "line")).withColumn("line_id", F.xxhash64("line"))
-    placed = placed.join(frequent.select("site", "line_id", "site_records"), ["site", "line_id"])
+    frequent = frequent_lines(lines, min_records, min_share)
+    placed = lines.select("site", "result_id", F.posexplode("lines").alias("pos", "line")).withColumn("line_id", line_id(F.col("line")))
+    placed = keyed_join(placed, frequent.select("line_id", "site_records"), "line_id", 32)
     rows = placed.groupBy("site", "result_id", "site_records").agg(F.array_sort(F.collect_set(F.struct("pos", "line"))).alias("s"))
     rows = checkpoint(rows.select("site", "result_id", "site_records", F.col("s.line").alias("s")))  # a record's own frequent lines
     keys = rows.select("site", "result_id", "site_records", F.posexplode(F.transform("s", lambda x: F.xxhash64(x))).alias("pos", "key"))
@@ -110,10 +118,13 @@ def without_repeated_lines(extractions: DataFrame, min_records: int = MIN_RECORD
     the lines of its mean record, so the list joined to each record is
     bounded.  Records without a site or content stay as they are.
     """
-    frequent = checkpoint(frequent_lines(record_lines(extractions), min_records, min_share))
-    lists = frequent.groupBy("site").agg(F.collect_set("line_id").alias("ids"))
-    src = extractions.select("result_id", site_of(F.coalesce("final_url", "url")).alias("site"), "content").dropDuplicates(["result_id"])
-    out = src.join(lists, "site", "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
-    pairs = F.arrays_zip(F.split("content", "\n", -1).alias("raw"), F.transform(normal_lines(F.col("content")), lambda x: F.xxhash64(x)).alias("id"))
+    lines = record_lines(extractions)
+    frequent = line_texts(lines, frequent_lines(lines, min_records, min_share))
+    lists = checkpoint(frequent.groupBy("site").agg(F.collect_set("line_id").alias("ids")))
+    src = extractions.select("result_id", site_of(F.coalesce("final_url", "url")).alias("site"), "content")
+    widest = lists.agg(F.coalesce(F.max(F.size("ids")), F.lit(0))).first()[0]
+    out = keyed_join(src, lists, "site", 64 + 8 * widest, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
+    pairs = F.arrays_zip(F.split("content", "\n", -1).alias("raw"), F.transform(normal_lines(F.col("content")), line_id).alias("id"))
     out = out.withColumn("kept", F.filter(pairs, lambda p: ~F.array_contains(F.col("ids"), p["id"])))
-    return out.select("result_id", "site", F.array_join("kept.raw", "\n").alias("content"), (F.size(F.split("content", "\n", -1)) - F.size("kept")).cast("bigint").alias("removed"))
+    out = out.select("result_id", "site", F.array_join("kept.raw", "\n").alias("content"), (F.size(F.split("content", "\n", -1)) - F.size("kept")).cast("bigint").alias("removed"))
+    return out.dropDuplicates(["result_id"])
