@@ -37,6 +37,8 @@ MAX_HAMMING, MIN_SIMILARITY = 3, 0.8
 BODY_SHARE = 1 / 3
 #: A component is trusted for its notes if it stands on so many pages, and this share of them was noted.
 NOTED_PAGES, NOTED_SHARE = 2, 0.5
+#: Rows of the ten tables that meet in one task.
+TABLE_ROWS = 500_000
 #: Trigrams that are hashed at once (64 bytes each).
 CHUNK = 1 << 18
 
@@ -229,8 +231,9 @@ def near_signatures(nodes: DataFrame) -> DataFrame:
         start, width = _BLOCKS[k]
         return F.shiftrightunsigned("signature", start).bitwiseAND(F.lit((1 << width) - 1))
 
+    tasks = 1 + nodes.count() * 10 // TABLE_ROWS  # so that a task's share of the tables does not grow with the corpus
     keys = F.array(*[F.shiftleft(F.lit(t).cast("bigint"), 32) + F.shiftleft(block(i), 13) + block(j) for t, (i, j) in enumerate(combinations(range(5), 2))])
-    rows = nodes.select("signature", F.explode(keys).alias("key"))
+    rows = nodes.select("signature", F.explode(keys).alias("key")).repartition(tasks, "key")
     a, b = (rows.select("key", F.col("signature").alias(x)) for x in "ab")
     pairs = a.join(b, "key").filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_HAMMING))
     return pairs.select("a", "b").distinct()
