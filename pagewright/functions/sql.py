@@ -40,16 +40,23 @@ def _sql_of(probe, fn: Callable[[Column], Column]) -> str:
     return text.replace("x.`x`", "x").replace("`x`", "x")
 
 
+# Arguments that meet both answers of each function.
+_PAGE = "'<html><body>' || CASE WHEN result_id % 2 = 0 THEN 'captcha' ELSE 'all is well' END || '</body>'"
+_TYPE = "CASE WHEN result_id % 2 = 0 THEN 'image/png' ELSE 'text/html' END"
+_TOLD = "CASE WHEN result_id % 2 = 0 THEN ' LLM instructions' ELSE '' END"
+_FAILED = "CASE WHEN result_id % 2 = 0 THEN 'unexpected EOF' ELSE 'bad certificate' END"
+
+
 def demo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every function called from SQL, over the records."""
     register_all(spark)
     table(spark, sf_dir, "extractions").select("result_id", "content", "url").createOrReplaceTempView("pagewright_sql_demo")
-    return spark.sql("""SELECT result_id, is_blocked_page(content) AS is_blocked, is_binary_type(content) AS is_binary, has_llm_text(content) AS llm, md5(md_cleanup(content)) AS clean, md_headings(content) AS headings, md_links(content) AS links,
-      semantic_fingerprint(content) AS fingerprint, md5(strip_invisible(content)) AS visible, md5(normal_text(content)) AS normal, is_retryable_error(content) AS retry, site_of_url(url) AS site FROM pagewright_sql_demo""").dropDuplicates(["result_id"])
+    return spark.sql(f"""SELECT result_id, is_blocked_page({_PAGE}) AS is_blocked, is_binary_type({_TYPE}) AS is_binary, has_llm_text(content || {_TOLD}) AS llm, md5(md_cleanup(content)) AS clean, md_headings(content) AS headings, md_links(content) AS links,
+      semantic_fingerprint(content) AS fingerprint, md5(strip_invisible(content)) AS visible, md5(normal_text(content)) AS normal, is_retryable_error({_FAILED}) AS retry, site_of_url(url) AS site FROM pagewright_sql_demo""").dropDuplicates(["result_id"])
 
 
 def demo_sql() -> str:
-    return rf"""SELECT result_id, {detect.is_blocked_sql('content')} AS is_blocked, {detect.is_binary_sql('content')} AS is_binary, {detect.has_llm_text_sql('content')} AS llm, md5({markdown.cleanup_sql('content')}) AS clean,
+    return rf"""SELECT result_id, {detect.is_blocked_sql('(' + _PAGE + ')')} AS is_blocked, {detect.is_binary_sql('(' + _TYPE + ')')} AS is_binary, {detect.has_llm_text_sql('(content || ' + _TOLD + ')')} AS llm, md5({markdown.cleanup_sql('content')}) AS clean,
       {rx.count_sql('content', markdown.HEADING)} AS headings, {rx.count_sql('content', markdown.LINK)} - {rx.count_sql('content', markdown.IMAGE)} AS links, {fingerprint.fingerprint_sql('content')} AS fingerprint, md5(regexp_replace(content, '{markdown.INVISIBLE}', '', 'g')) AS visible,
-      md5({fingerprint.normal_sql('content')}) AS normal, {detect.is_retryable_sql('content')} AS retry, regexp_replace(lower(regexp_extract(url, '//([^/:?#]*)', 1)), '^(www\.|m\.)', '') AS site
+      md5({fingerprint.normal_sql('content')}) AS normal, {detect.is_retryable_sql('(' + _FAILED + ')')} AS retry, regexp_replace(lower(regexp_extract(url, '//([^/:?#]*)', 1)), '^(www\.|m\.)', '') AS site
       FROM (SELECT DISTINCT result_id, content, url FROM extractions)"""

@@ -264,9 +264,9 @@ _FAKE_SQL = (
 )
 register("cdn_fingerprint", lambda s, d: _fake_headers(s, d).select("page_id", headers.cdn(_H()).alias("c")).select("page_id", "c.*"),
          f"SELECT page_id, {headers.cdn_sql('headers')[0]} AS provider, {headers.cdn_sql('headers')[1]} AS signals FROM {_FAKE_SQL}")
-_VIA = "'1.1 varnish, HTTP/2 h' || page_id || ' (squid, x), (only), cache-' || page_id || ', ,1.0  b c'"
+_VIA = "CASE WHEN page_id % 3 = 0 THEN '2.0 edge (only), ' ELSE '' END || '1.1 varnish, HTTP/2 h' || page_id || ' (squid, x), (only), cache-' || page_id || ', ,1.0  b c'"
 _VIA_HOP = f"""{{'protocol': CASE WHEN len(f) >= 2 THEN f[1] ELSE '' END, 'host': CASE WHEN len(f) >= 2 THEN f[2] ELSE coalesce(f[1], '') END, 'comment': c}}"""
-register("via_hops", lambda s, d: _pages(s, d).select("page_id", headers.via_hops(F.concat(F.lit("1.1 varnish, HTTP/2 h"), C("page_id").cast("string"), F.lit(" (squid, x), (only), cache-"), C("page_id").cast("string"), F.lit(", ,1.0  b c"))).alias("hops")).withColumn("proxy_layers", F.size("hops").cast("bigint")),
+register("via_hops", lambda s, d: _pages(s, d).select("page_id", headers.via_hops(F.concat(F.when(C("page_id") % 3 == 0, "2.0 edge (only), ").otherwise(""), F.lit("1.1 varnish, HTTP/2 h"), C("page_id").cast("string"), F.lit(" (squid, x), (only), cache-"), C("page_id").cast("string"), F.lit(", ,1.0  b c"))).alias("hops")).withColumn("proxy_layers", F.size("hops").cast("bigint")),
          f"""WITH p AS (SELECT page_id, list_filter(list_transform(string_split({_VIA}, ','), lambda x: {rx.trim_sql('x')}), lambda x: x <> '') AS parts FROM page_in),
 e AS (SELECT page_id, list_transform(parts, lambda x: regexp_extract(x, '(?s)^[^(]*(\\(.*\\))', 1)) AS cs, parts FROM p),
 h AS (SELECT page_id, list_transform(list_zip(parts, cs), lambda z: {{'f': {rx.words_sql("CASE WHEN z[2] <> '' THEN string_split(z[1], '(')[1] ELSE z[1] END")}, 'c': z[2]}}) AS zs FROM e),
@@ -291,16 +291,35 @@ register("url_host", lambda s, d: table(s, d, "extractions").select("result_id",
          r"SELECT DISTINCT result_id, regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1) AS domain, regexp_replace(lower(regexp_extract(coalesce(final_url, url), '^[A-Za-z]+://([^/:?#]*)', 1)), '^(www\.|m\.)', '') AS site FROM extractions")
 
 
+_OPTIONS = {"timeout_ms": 30000, "max_retries": 0, "max_retry_wait_ms": 10000}
+_AGENT = "pagewright/1.0"
+
+
 def _configured(s: SparkSession, d: str) -> DataFrame:
-    cfg = table(s, d, "domain_cfg").groupBy(F.lower(F.trim("domain")).alias("site")).agg(F.max("timeout_ms").alias("t"), F.max("max_retries").alias("r"))
+    """Every option of each page's domain; only positive numbers and non-empty texts replace the defaults."""
+    cfg = table(s, d, "domain_cfg").groupBy(F.lower(F.trim("domain")).alias("site")).agg(*[F.max(n).alias(n) for n in _OPTIONS], F.max(F.trim("user_agent")).alias("user_agent"))
     p = _pages(s, d).select("page_id", site_of(C("url")).alias("site"))
-    return p.join(cfg, "site", "left").select("page_id", F.coalesce(F.when(C("t") > 0, C("t")), F.lit(30000)).cast("bigint").alias("timeout_ms"), F.coalesce(F.when(C("r") > 0, C("r")), F.lit(0)).cast("bigint").alias("max_retries"))
+    options = [F.coalesce(F.when(C(n) > 0, C(n)), F.lit(v)).cast("bigint").alias(n) for n, v in _OPTIONS.items()]
+    return p.join(cfg, "site", "left").select("page_id", *options, F.coalesce(F.nullif("user_agent", F.lit("")), F.lit(_AGENT)).alias("user_agent"))
 
 
-register("domain_config_join", _configured, r"""
-SELECT page_id, coalesce(CASE WHEN t > 0 THEN t END, 30000)::BIGINT AS timeout_ms, coalesce(CASE WHEN r > 0 THEN r END, 0)::BIGINT AS max_retries
+register("domain_config_join", _configured, rf"""
+SELECT page_id, {', '.join(f'coalesce(CASE WHEN {n} > 0 THEN {n} END, {v})::BIGINT AS {n}' for n, v in _OPTIONS.items())}, coalesce(nullif(user_agent, ''), '{_AGENT}') AS user_agent
 FROM (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]*)', 1)), '^(www\.|m\.)', '') AS site FROM page_in)
-LEFT JOIN (SELECT lower(trim(domain)) AS site, max(timeout_ms) AS t, max(max_retries) AS r FROM domain_cfg GROUP BY 1) USING (site)""")
+LEFT JOIN (SELECT lower(trim(domain)) AS site, {', '.join(f'max({n}) AS {n}' for n in _OPTIONS)}, max(trim(user_agent)) AS user_agent FROM domain_cfg GROUP BY 1) USING (site)""")
+
+
+def _compared(s: SparkSession, d: str) -> DataFrame:
+    """Two runs by site name: mean size of the records before and after a day, and which run gave more by a fifth."""
+    e = _once(table(s, d, "extractions").select("result_id", F.lower(F.trim("sitename")).alias("name"), "length", (C("fetched_at") < F.expr("timestamp'2024-07-01'")).alias("old"))).filter("name is not null")
+    runs = e.groupBy("name").agg(F.avg(F.when(C("old"), C("length"))).alias("baseline"), F.avg(F.when(~C("old"), C("length"))).alias("current"))
+    verdict = F.when(C("baseline").isNull(), "new").when(C("current").isNull(), "gone").when(C("current") > C("baseline") * 1.2, "win").when(C("baseline") > C("current") * 1.2, "loss").otherwise("tie")
+    return runs.select("name", F.round("baseline", 4).alias("baseline"), F.round("current", 4).alias("current"), verdict.alias("verdict"), (C("current") >= C("baseline") * 0.85).alias("no_regression"))
+
+
+register("baseline_compare", _compared, f"""
+SELECT name, round(b, 4) AS baseline, round(c, 4) AS current, CASE WHEN b IS NULL THEN 'new' WHEN c IS NULL THEN 'gone' WHEN c > b * 1.2 THEN 'win' WHEN b > c * 1.2 THEN 'loss' ELSE 'tie' END AS verdict, c >= b * 0.85 AS no_regression
+FROM (SELECT lower(trim(sitename)) AS name, avg(length) FILTER (fetched_at < TIMESTAMP '2024-07-01') AS b, avg(length) FILTER (fetched_at >= TIMESTAMP '2024-07-01') AS c FROM {RECORDS} WHERE sitename IS NOT NULL GROUP BY 1)""")
 register("redirect_chain", lambda s, d: _pages(s, d).select("page_id", F.size(F.coalesce(F.slice("redirect_chain", 1, 10), F.array().cast("array<string>"))).cast("bigint").alias("redirects"), F.coalesce(F.get("redirect_chain", F.least(F.size("redirect_chain"), F.lit(10)) - 1), F.lit("")).alias("last_from")),
          "SELECT page_id, coalesce(len(redirect_chain[1:10]), 0) AS redirects, coalesce(redirect_chain[1:10][-1], '') AS last_from FROM page_in")
 register("redirect_lag", lambda s, d: _pages(s, d).select("page_id", F.posexplode("redirect_chain").alias("hop", "to_url")).distinct().withColumn("from_url", F.lag("to_url").over(Window.partitionBy("page_id").orderBy("hop"))).select("page_id", C("hop").cast("bigint"), "from_url", "to_url"),

@@ -150,10 +150,10 @@ def _answers(s: SparkSession, d: str) -> DataFrame:
     code = F.element_at(F.array(*map(F.lit, (200, 200, 404, 503, 429))), (C("result_id") % 5 + 1).cast("int"))
     link = F.when(C("result_id") % 3 == 0, '</llms.txt>; rel="llms-txt"').when(C("result_id") % 3 == 1, "<https://x.test/s.css>; rel=preload")
     made = F.create_map(F.lit("content-type"), F.lit("text/markdown"), F.lit("Link"), F.coalesce(link, F.lit("")), F.lit("X-LLMs-Txt"), F.when(C("result_id") % 3 == 1, "/fallback.txt").otherwise(""))
-    return table(s, d, "extractions").select(C("result_id").alias("page_id"), "url", C("content").alias("body"), code.alias("status"), made.alias("headers"))
+    return table(s, d, "extractions").select(C("result_id").alias("page_id"), "url", F.concat("content", F.when(C("result_id") % 4 == 0, " LLM instructions").otherwise("")).alias("body"), code.alias("status"), made.alias("headers"))
 
 
-_ANSWER = f"""(SELECT *, {markdown.cleanup_sql('content')} AS body, {_CODES} AS code FROM (SELECT result_id, any_value(content) AS content FROM extractions GROUP BY 1))"""
+_ANSWER = f"""(SELECT *, {markdown.cleanup_sql('content')} AS body, {_CODES} AS code FROM (SELECT result_id, any_value(content) || CASE WHEN result_id % 4 = 0 THEN ' LLM instructions' ELSE '' END AS content FROM extractions GROUP BY 1))"""
 _HLP = f"{rx.count_sql('body', markdown.HEADING)} AS h, {rx.count_sql('body', markdown.LINK)} - {rx.count_sql('body', markdown.IMAGE)} AS l, {markdown.long_lines_sql('body')} AS p"
 register("extract_markdown", lambda s, d: _once(extract.markdown_records(_answers(s, d)).select("page_id", "title", F.md5("content").alias("digest"), "length", "status", "confidence", "is_blocked", "heading_count", "link_count", "paragraph_count", "profile.class", "profile.outcome", "profile.trustworthy", "fingerprint", "has_llm_content", "llms_txt_url")), f"""
 SELECT result_id AS page_id, {markdown.title_sql('body')} AS title, md5(body) AS digest, strlen(body) AS length, code AS status, CASE WHEN code = 200 THEN 100 ELSE {scoring.confidence_sql('strlen(body)', 'h', 'p', '0', 'false')} END AS confidence, code IN (503, 429) AS is_blocked,
@@ -167,6 +167,13 @@ register("head_preflight", lambda s, d: _once(table(s, d, "page_in").select("pag
 SELECT DISTINCT page_id, CASE WHEN code = 200 AND {detect.is_binary_sql('ct')} THEN 'skipped binary content: ' || ct WHEN code IN (404, 410) THEN 'HEAD preflight returned ' || code END AS error
 FROM (SELECT page_id, {_HEAD_CODES} AS code, CASE WHEN page_id % 3 = 0 THEN 'Image/PNG; q=1' ELSE {_CT} END AS ct FROM page_in)""")
 register("extract_full", lambda s, d: extract.extract(_pages(s, d)))
+#: What SQL can read of the records: the title, and every native signal.
+register("extract_signals", lambda s, d: extract.extract(_pages(s, d)).select("page_id", "title", "status", "is_blocked", "is_soft404", "soft404_hints", F.array_except("spa_signals", F.array(F.lit("index-page-fallback"), F.lit("text-fallback"), F.lit("ldjson-supplemented"))).alias("spa_signals")), f"""
+SELECT page_id, {rx.trim_sql("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title, status, {detect.is_blocked_sql('html')} OR status IN ({', '.join(map(str, scoring.STATUS_REASONS))}) AS is_blocked, len(h) >= 2 AS is_soft404, h AS soft404_hints, {detect.spa_signals_sql('html')} AS spa_signals
+FROM (SELECT *, CASE WHEN status = 200 THEN {detect.soft404_hints_sql('html', 'strlen(html)')} ELSE [] END AS h FROM {PAGES})""")
+_ART = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+register("readability_counts", lambda s, d: _once(extract.articles(_pages(s, d))).filter("headings > 0").select("page_id", "headings", "paragraphs", "links"), f"""
+SELECT page_id, len(regexp_extract_all(a, '<h[1-6][>\\s]')) AS headings, len(regexp_extract_all(a, '<p[>\\s]')) AS paragraphs, len(regexp_extract_all(a, '<a[>\\s]')) AS links FROM (SELECT page_id, {_ART} AS a FROM {PAGES}) WHERE headings > 0""")
 register("extract_dedupe", lambda s, d: extract.extract(_pages(s, d), extract.ExtractOptions(dedupe=True)).select("page_id", "length", "original_blocks", "unique_blocks", "duplicates_found"))
 register("extract_fast_mode", lambda s, d: extract.extract(_pages(s, d), extract.ExtractOptions(fast_mode=True)).groupBy("profile.class", "error").agg(F.count(F.lit(1)).alias("n")))
 
