@@ -293,7 +293,7 @@ def labels(page: Page, forms: list[str], own: set[str], title: str, byline: str,
     return out
 
 
-def fit(rows: list[tuple], rounds: int = 2, steps: int = 100) -> Model:
+def fit(rows: list[tuple], rounds: int = 2, steps: int = 40) -> Model:
     """rows: (content, title, byline, sitename, host, link count, link density, html of the page or None).
 
     Logistic weights first on the labelled lines, then EM: marginals of all
@@ -356,8 +356,8 @@ def fit(rows: list[tuple], rounds: int = 2, steps: int = 100) -> Model:
             m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
             mb1, mb2 = 0.9 * mb1 + 0.1 * gb, 0.99 * mb2 + 0.01 * gb * gb
             c1, c2 = 1 - 0.9**step, 1 - 0.99**step
-            w -= 0.05 * (m1 / c1) / (np.sqrt(m2 / c2) + 1e-9)
-            bias -= 0.05 * (mb1 / c1) / (np.sqrt(mb2 / c2) + 1e-9)
+            w -= 0.12 * (m1 / c1) / (np.sqrt(m2 / c2) + 1e-9)
+            bias -= 0.12 * (mb1 / c1) / (np.sqrt(mb2 / c2) + 1e-9)
         odds = np.bincount(row, w[index], len(kept)) + bias
         if turn == rounds:
             break
