@@ -325,6 +325,41 @@ def test_what_stands_on_every_page_is_reported(spark, copies):
     assert markup.marked_elements(df).count() == 2 * copies
 
 
+def test_wiki_records_without_headings_are_read(spark):
+    rows = [(1, "'''A''' b\n* c\n* d"), (2, "[[a|b]]\n# c"), (3, "{{Infobox x}}\n* c"), (4, "* c\n[md](x)")]
+    got = sorted(tuple(r) for r in markup.marked_elements(records(spark, rows)).collect())
+    assert got == [(1, "list_item", 1), (1, "list_item", 2), (2, "list_item", 1), (3, "list_item", 1)]
+
+
+SHOPS = "<ul>" + "".join(f"<li>shop {k}" for k in range(30)) + "</ul>"
+
+
+@pytest.mark.parametrize("text", ["<ul><li>own {0} a<li>own {0} b</ul>\n" + SHOPS, f"<div class=nav>{SHOPS}</div><div class=text><ul><li>own {{0}} a<li>own {{0}} b</ul></div>", "<div>" * 14 + "<ul><li>own {0} a<li>own {0} b</ul>" + "</div>" * 14 + SHOPS])
+def test_equal_tags_in_other_places_are_not_merged(spark, text):
+    """A page's own list stays, whatever its tags share with the repeated list and however deep it lies."""
+    got = markup.clean_text(records(spark, [(i, text.format(i)) for i in range(12)])).collect()
+    assert len(got) == 12 and all(r.content == f"- own {r.result_id} a\n- own {r.result_id} b" for r in got)
+
+
+def test_a_branch_goes_with_its_paragraphs(spark):
+    """Also with their formulas; a branch with a paragraph of the page's own keeps its paragraphs, a table its cells, prose its formulas."""
+    aside = "<aside><h5>Our shops</h5><p>Visit us <b>daily</b> for $n$ gifts<p>Open</aside>"
+    mixed = "<div><p>Read on.</p><p>The harbor of town {0} was surveyed again</p></div><table><tr><th>Depth</th><td>{0} m</td></tr></table>"
+    rows = [(i, f"<h2>Topic {i}</h2><p>Let $n$ be {i}.</p>{aside}{mixed.format(i)}") for i in range(12)]
+    got = markup.clean_text(records(spark, rows)).collect()
+    assert len(got) == 12
+    for r in got:
+        i = r.result_id
+        assert "Our shops" not in r.content and "daily" not in r.content and "gifts" not in r.content and "Open" not in r.content
+        assert all(x in r.content for x in (f"## Topic {i}", f"Let $n$ be {i}.", "Read on.", f"The harbor of town {i} was surveyed again", "Depth", f"{i} m"))
+
+
+def test_paragraphs_and_places_in_a_tree():
+    one, two, other = (markup.record_tree(f"<aside><p>a <!-- <p> --> $x$ b<p>c</aside>{x}") for x in ("", "", "<ul><li>d</ul>"))
+    assert [(n.path, n.content, n.alone) for n in one if n.kind] == [("page/aside/$", "x", False), ("page/aside/#text", "a $x$ b", False), ("page/aside/#text", "c", False)]
+    assert markup.places(one) == markup.places(two) and markup.places(one)[1][0] != markup.places(other)[1][0]
+
+
 # 6
 
 
