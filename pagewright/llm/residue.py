@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm import boilerplate
-from pagewright.session import checkpoint
+from pagewright.session import checkpoint, checkpoint_round
 
 MAX_HAMMING, MIN_SIMILARITY = 3, 0.8
 #: Residue statements, whose variable neighbours may stay without a label, make up this share of a residue record.
@@ -254,17 +254,17 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """signature, component: smallest signature reachable; checkpointed rounds of label exchange with jumps."""
-    both = checkpoint(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = checkpoint_round(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     label = nodes.select(F.col("signature").alias("a"), F.col("signature").alias("component"))
     if both.isEmpty():
         return label.withColumnRenamed("a", "signature")
-    touched = checkpoint(label.join(both.select("a").distinct(), "a", "left_semi"))
+    touched = checkpoint_round(label.join(both.select("a").distinct(), "a", "left_semi"))
     while True:
         near = both.join(touched.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("component").alias("near"))
         new = touched.join(near, "a", "left").select("a", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("was"))
         jump = new.select(F.col("a").alias("j"), F.col("component").alias("jumped"))
         new = new.join(jump, F.col("component") == F.col("j"), "left").select("a", F.least("component", F.coalesce("jumped", "component")).alias("component"), "was")
-        new = checkpoint(new)
+        new = checkpoint_round(new)
         changed = not new.filter("component <> was").isEmpty()
         touched = new.select("a", "component")
         if not changed:

@@ -44,3 +44,18 @@ def test_keyed_join_of_either_kind(spark):
     for how in ("inner", "left"):
         a, b = (sorted(map(str, keyed_join(large, small, "k", size, how).select("result_id", "k", "v").collect())) for size in (1, 1 << 40))
         assert a == b and len(a) == (200 if how == "left" else 134)
+
+
+def estimate(df) -> int:
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def test_rounds_of_components_leave_no_growing_estimate(spark):
+    """A shuffled chain takes many rounds; the planner's estimate of the result stays a small number."""
+    from pagewright.llm import residue
+
+    chain = random.Random(5).sample(range(24), 24)
+    nodes = spark.createDataFrame([(x,) for x in chain], "signature bigint")
+    found = residue.components(nodes, spark.createDataFrame(list(zip(chain, chain[1:])), "a bigint, b bigint"))
+    assert estimate(found).bit_length() < 1000
+    assert sorted(map(tuple, found.collect())) == [(x, 0) for x in range(24)]
