@@ -59,3 +59,23 @@ def test_rounds_of_components_leave_no_growing_estimate(spark):
     found = residue.components(nodes, spark.createDataFrame(list(zip(chain, chain[1:])), "a bigint, b bigint"))
     assert estimate(found).bit_length() < 1000
     assert sorted(map(tuple, found.collect())) == [(x, 0) for x in range(24)]
+
+
+def test_classes_of_a_chain_leave_no_growing_estimate(spark):
+    """Each text is near its neighbours in the chain only; ids in any order make many rounds."""
+    ids = random.Random(5).sample(range(24), 24)
+    df = spark.createDataFrame([(x, " ".join(f"w{k}x" for k in range(4 * i, 4 * i + 60))) for i, x in enumerate(ids)], "result_id bigint, content string")
+    found = neardup.near_duplicate_classes(df, "result_id", "content")
+    assert estimate(found).bit_length() < 2000
+    assert sorted(map(tuple, found.collect())) == [(x, x, 0) for x in range(24)]
+
+
+def test_texts_that_share_a_rare_beginning_are_no_candidates(spark):
+    """Half a text in common meets in the prefixes; whole sets are compared only of what may reach 0.8."""
+    shared = [f"s{k}x" for k in range(60)]
+    texts = [(i, " ".join(shared + [f"w{i}y{k}x" for k in range(60)])) for i in range(12)]
+    texts.append((12, texts[0][1] + " more"))
+    df = spark.createDataFrame(texts, "result_id bigint, content string")
+    made = neardup.prefixes(df, "result_id", "content").withColumnRenamed("text_key", "k")
+    assert [tuple(r) for r in neardup.candidate_pairs(made).collect()] == [(0, 12)]
+    assert [tuple(r) for r in neardup.near_duplicate_pairs(df, "result_id", "content").collect()] == [(0, 12, 116, 117)]
