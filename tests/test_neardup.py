@@ -79,3 +79,13 @@ def test_texts_that_share_a_rare_beginning_are_no_candidates(spark):
     made = neardup.prefixes(df, "result_id", "content").withColumnRenamed("text_key", "k")
     assert [tuple(r) for r in neardup.candidate_pairs(made).collect()] == [(0, 12)]
     assert [tuple(r) for r in neardup.near_duplicate_pairs(df, "result_id", "content").collect()] == [(0, 12, 116, 117)]
+
+
+def test_frequent_shingles_are_whole_counts(spark, monkeypatch):
+    """Five texts have one shingle each, of counts 4, 3, 2, 2 and 1; counts that would pass the bound stay out."""
+    texts = ["a"] * 4 + ["b"] * 3 + ["c"] * 2 + ["d"] * 2 + ["e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "result_id bigint, content string")
+    for bound, want in ((4, [2, 2, 3, 4]), (3, [3, 4]), (2, [3, 4]), (1, [4]), (0, [])):
+        monkeypatch.setattr(neardup, "FREQUENT", bound)
+        h, times = neardup.frequent_shingles(df, "result_id", "content")
+        assert sorted(times.tolist()) == want and h.tolist() == sorted(h.tolist())
